@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dirgauge.llm import chat_format, mixing, url_filter
+from dirgauge.llm import chat_format, mixing, packing, quality, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op7_source_mix": mixing.op7_source_mix,
         "op8_chat_format": chat_format.op8_chat_format,
+        "op9_packing": packing.op9_packing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
