@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dirgauge.llm import chat_format, mixing, packing, quality, url_filter
+from dirgauge.llm import chat_format, minhash, mixing, packing, quality, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op4_minhash": minhash.op4_minhash,
         "op7_source_mix": mixing.op7_source_mix,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_packing": packing.op9_packing,
