@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +31,34 @@ def table(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/dirgauge-{uuid.uuid4().hex}"
     _written[_scope].append(path)
+    return _through(df, path, codec)
+
+
+def table_beside(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """As table(), but it stays when the scope that it is written in ends."""
+    return _through(df, f"{shared_dir(df.sparkSession)}/dirgauge-{uuid.uuid4().hex}", codec)
+
+
+def _through(df: DataFrame, path: str, codec: str) -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def new_scope(spark: SparkSession, name: str) -> None:
-    """Begin a stage whose tables stay until the next stage of this kind begins; drop those of the last one."""
+@contextmanager
+def scope(spark: SparkSession, name: str, after: str | None = None):
+    """While open, tables are written under name; tables under after, of a stage that has ended, are dropped first."""
     global _scope
-    drop_tables(spark, _scope if _scope != "" else None)
-    _scope = name
+    if after is not None:
+        drop_tables(spark, after)
+    outer, _scope = _scope, name
     _written.setdefault(name, [])
+    try:
+        yield
+    finally:
+        _scope = outer
 
 
-def end_scope(spark: SparkSession) -> None:
-    """Drop the tables of the stage that has ended and go back to tables that stay."""
-    global _scope
-    if _scope != "":
-        drop_tables(spark, _scope)
-    _scope = ""
-
-
-def drop_tables(spark: SparkSession, scope: str | None) -> None:
-    if scope is None:
-        return
+def drop_tables(spark: SparkSession, scope: str) -> None:
     jvm = spark.sparkContext._jvm
     for path in _written.pop(scope, []):
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dirgauge.llm import chat_format, minhash, mixing, packing, quality, url_filter
+import corpus_pipeline
+from dirgauge.llm import chat_format, line_dedup, minhash, mixing, packing, quality, url_filter
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality": quality.op1_quality,
         "op4_minhash": minhash.op4_minhash,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op7_source_mix": mixing.op7_source_mix,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_packing": packing.op9_packing,

@@ -49,10 +49,16 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts that lie end to end in data, and where each text's words begin."""
+    """Word hashes of texts that lie end to end in data, and the number of words before each text."""
+    hashes, begin = word_places(data, offsets, fold)
+    return hashes, np.searchsorted(begin, offsets)
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and first bytes of texts that lie end to end in data."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     gap = SPACES[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -65,8 +71,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(BYTE_VALUES[fold][data] * power[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * inverse[begin])
-    return hashes, np.searchsorted(begin, offsets)
+    return mix((sums[end] - sums[begin]) * inverse[begin]), begin
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
