@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from dirgauge.llm import chat_format, line_dedup, minhash, mixing, packing, quality, url_filter
+from dirgauge.llm import chat_format, line_dedup, minhash, mixing, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_quality": quality.op1_quality,
+        "op2_simhash": simhash.op2_simhash,
         "op4_minhash": minhash.op4_minhash,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_token_counts": token_counts.op6_token_counts,
         "op7_source_mix": mixing.op7_source_mix,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_packing": packing.op9_packing,
