@@ -5,10 +5,10 @@ coordinates of its signature: the first shuffles the shingles' positions, the se
 shifted circularly by one more for each coordinate, and the coordinate is the smallest
 value met. Equal sets are joined by a hash of the whole set before anything else. Bands of
 signature coordinates put sets into buckets. In each bucket every set is compared to one
-hub, the member that meets most others over all its buckets; links found join into
-components. What a star can miss are links between members of different components of
-one bucket: those are compared in blocks, by signature first, so that no group emits all
-its pairs. Every link is confirmed on the full sets, whose intersection is counted exactly.
+hub, by turns the member that meets most others over all its buckets or any member; links
+found join into components. What a star can miss are links between members of different components of
+one bucket: members outside a bucket's largest component are compared with its others in
+blocks, by signature first, and only links leave a block. Every link is confirmed on the full sets, whose intersection is counted exactly.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dirgauge.llm.textkeys import lists, mix, shingles, signed, text_words
 
 ROWS, BANDS = 5, 25
 #: Members of a bucket that are compared with each other at once.
-BLOCK = 256
+BLOCK = 128
 #: Sets compared to one hub by one task.
 HUB_ROWS = 2000
 
@@ -86,23 +86,41 @@ def _sets(words: int):
     return run
 
 
-def _plausible(rows: int, bands: int, least: float):
-    """Pairs in a block pair of one bucket, of different components, whose signatures agree in least of all coordinates."""
+def _cross_links(rows: int, bands: int, percent: int):
+    """Links between sides 0 and 1 of different components: one for each member of side 0 and component.
+
+    Signatures that agree far too little are passed over (five standard deviations below the
+    bound); sets are compared in the first bucket that two members share, most alike first.
+    """
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (rows * bands)) ** 0.5
 
     def run(key, data):
-        rep = data.column("rep").to_numpy()
-        comp = data.column("component").to_numpy()
-        side = data.column("side").to_numpy()
+        data = data.combine_chunks()
+        rep, comp, side = (data.column(k).to_numpy() for k in ("rep", "component", "side"))
         mark = np.frombuffer(b"".join(data.column("mark").to_pylist()), dtype=np.uint32).reshape(len(rep), rows * bands)
+        band = np.array(data.column("bands").to_pylist(), dtype=np.int64)
+        listed = data.column("items").chunk(0)
+        offsets, values = listed.offsets.to_numpy(), listed.values.to_numpy()
+        n = np.diff(offsets)
+        here = int(np.flatnonzero((band == key[0].as_py()).any(axis=0))[0])
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b if len(b) else a
         left, right = [], []
         for i in a:
-            others = b[comp[b] != comp[i]]
+            others = b[(comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
+            others = others[(band[others] == band[i]).argmax(axis=1) == here]
             same = (mark[others] == mark[i]).mean(axis=1)
-            near = others[(same >= least) & (rep[others] != rep[i])]
-            left += [min(rep[i], rep[j]) for j in near]
-            right += [max(rep[i], rep[j]) for j in near]
+            joined = set()
+            for k in np.argsort(-same, kind="stable"):
+                if same[k] < least:
+                    break
+                j = others[k]
+                if comp[j] in joined:
+                    continue
+                met = len(np.intersect1d(values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]], assume_unique=True))
+                if 100 * met >= percent * (n[i] + n[j] - met):
+                    joined.add(comp[j])
+                    left.append(rep[i])
+                    right.append(rep[j])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
@@ -146,7 +164,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     met = table(spread.join(full, "bucket"))
     degree = met.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = met.join(degree, "rep")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct(F.col("degree"), (-F.col("rep")).alias("least"))).alias("h")).select("bucket", (-F.col("h.least")).alias("hub"))
+    # half of the buckets take the member that meets most others, half any: groups that gather around one text, and groups without a centre
+    rank = F.when(F.col("bucket") % 2 == 0, F.col("degree")).otherwise(F.xxhash64("rep", "bucket"))
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), (-F.col("rep")).alias("least"))).alias("h")).select("bucket", (-F.col("h.least")).alias("hub"))
     stars = table(met.join(hubs, "bucket").where("rep <> hub").select(F.col("rep").alias("member"), "hub").distinct())
     asked = met.select("rep").distinct()
     wanted = narrow.select(F.col("doc").alias("rep"), "text").join(asked, "rep", "left_semi")
@@ -159,11 +179,11 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     edges = links.select(F.col("member").alias("a"), F.col("hub").alias("b"))
     found = connected_components(edges)
     labelled = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = table(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("all > main.n")
+    mixed = table(mixed.select("bucket", F.col("main.component").alias("main"), *[F.ceil(n / BLOCK).cast("int").alias(k) for k, n in (("asking", F.col("all") - F.col("main.n")), ("asked", F.col("all") / 4))]))
     if not mixed.isEmpty():
-        rest = table(_cross(labelled, mixed, reps, rows, bands, percent))
-        more = _confirmed(rest.join(stars, (rest.a == stars.member) & (rest.b == stars.hub), "left_anti").select(F.col("a").alias("member"), F.col("b").alias("hub")), reps, items, percent)
-        edges = edges.union(table(more.select(F.col("member").alias("a"), F.col("hub").alias("b"))))
+        edges = edges.union(table(_cross(labelled, mixed, reps, items, rows, bands, percent)))
         found = connected_components(edges)
     of_rep = reps.select("whole", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("whole", F.coalesce("component", "rep").alias("component"))
     out = signs.select("doc", "n_shingles", "whole").join(of_rep, "whole", "left")
@@ -175,14 +195,15 @@ def _unique(signs: DataFrame) -> bool:
     return signs.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty()
 
 
-def _cross(labelled: DataFrame, mixed: DataFrame, reps: DataFrame, rows: int, bands: int, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) across components in one bucket, from pairs of blocks of its members."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = labelled.join(mixed, "bucket").join(reps.select("rep", "mark"), "rep").withColumn("block", block)
-    paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sided = paired.select("bucket", "rep", "component", "mark", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (rows * bands)) ** 0.5
-    return sided.groupBy("bucket", "i", "j").applyInArrow(_plausible(rows, bands, least), "a long, b long").distinct()
+def _cross(labelled: DataFrame, mixed: DataFrame, reps: DataFrame, items: DataFrame, rows: int, bands: int, percent: int) -> DataFrame:
+    """Links (a, b) of members outside their bucket's main component to members of other components, from blocks of either."""
+    members = labelled.join(mixed, "bucket").join(reps.select("rep", "mark", "bands"), "rep").join(items, "rep")
+    h, minor = F.xxhash64("rep"), F.col("component") != F.col("main")
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    asks = F.when(minor, F.transform(F.sequence(F.lit(0), F.col("asked") - 1), lambda j: cell(F.pmod(h, F.col("asking")), j, 0)))
+    answers = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: cell(i, F.pmod(h, F.col("asked")), 1))
+    sided = members.withColumn("cell", F.explode(F.concat(F.coalesce(asks, F.array().cast("array<struct<i:int,j:int,side:int>>")), answers))).select("bucket", "cell.*", "rep", "component", "mark", "bands", "items")
+    return sided.groupBy("bucket", "i", "j").applyInArrow(_cross_links(rows, bands, percent), "a long, b long")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
