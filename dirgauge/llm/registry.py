@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from dirgauge.llm import chat_format, line_dedup, minhash, mixing, packing, quality, simhash, token_counts, url_filter
+from dirgauge.llm import chat_format, embedding_dedup, line_dedup, minhash, mixing, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op1_quality": quality.op1_quality,
         "op2_simhash": simhash.op2_simhash,
+        "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_minhash": minhash.op4_minhash,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_token_counts": token_counts.op6_token_counts,
