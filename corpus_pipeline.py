@@ -43,10 +43,8 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
-    import public_tokenizers
-
     with common.scope(spark, "packing", after="source_mix"):
-        return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+        return packing.pack_byte_bpe(docs)
 
 
 STAGES = [

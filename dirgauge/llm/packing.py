@@ -15,6 +15,7 @@ parts, so that a class with a third of all rows is spread.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -34,7 +35,7 @@ END_ID = 1
 SALTS = 32
 #: Greedily packed windows a task's stream has, about.
 STREAM_WINDOWS = 64
-CACHE = 300_000
+CACHE = 900_000
 
 #: White space other than single spaces and line feeds between words: such texts are encoded whole.
 _ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -47,52 +48,72 @@ class Encoder:
     stands between two other characters than white space: the space begins the next
     pre-token, the line feed is one by itself. So words are encoded once each and looked
     up; a text with other white space is encoded as a whole.
+
+    ranks and pattern name the same vocabulary for a library that is quicker at single words.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.feed = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[str, bytes] = {}
+        self.feed = self._whole(["\n"])[0]
+        self.quick = None
+        if ranks and pattern:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        self.feed_id = int(np.frombuffer(self.feed, dtype="<u4")[0])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _listed(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of each of words after lead, encoded as one text; the line feeds between them are tokens of their own."""
+        if not words:
+            return []
+        text = lead + f"\n{lead}".join(words)
+        ids = np.array(self.quick.encode_ordinary(text) if self.quick else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = [*(np.flatnonzero(ids == self.feed_id) * 4).tolist(), 4 * len(ids)]
+        raw, begin, out = ids.tobytes(), 0, []
+        for end in ends:
+            out.append(raw[begin:end])
+            begin = end + 4
+        return out
+
     @staticmethod
     def _odd(text: str) -> bool:
         return not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > CACHE:
-            self.first.clear()
-            self.rest.clear()
-        split: list[list[list[str]] | None] = [None if self._odd(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        new_first, new_rest = set(), set()
-        for lines in split:
-            for line in lines or ():
-                if line[0] not in self.first:
-                    new_first.add(line[0])
-                new_rest.update(w for w in set(line[1:]) if w not in self.rest)
-        for cache, new, lead in ((self.first, new_first, ""), (self.rest, new_rest, " ")):
-            listed = list(new)
-            cache.update(zip(listed, self._encode([lead + w for w in listed]), strict=True))
-        whole = iter(self._encode([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        out, rest, first, feed = [], self.rest.__getitem__, self.first, self.feed
-        for lines in split:
-            out.append(next(whole) if lines is None else feed.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]))
-        return out
+        """Ids of each text. A word is looked up as it stands, one at a line's begin with the line feed before it, a text's first as a line's."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        split = [None if self._odd(t) else f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        new: set[str] = set()
+        for words in split:
+            if words:
+                new |= set(words).difference(known)
+        inner = [w for w in new if w[0] != "\n"]
+        begin = [w for w in new if w[0] == "\n"]
+        known.update(zip(inner, self._listed(inner, " "), strict=True))
+        known.update(zip(begin, [self.feed + x for x in self._listed([w[1:] for w in begin], "")], strict=True))
+        whole = iter(self._whole([t for t, words in zip(texts, split, strict=True) if words is None]))
+        of, skip = known.__getitem__, len(self.feed)
+        return [next(whole) if words is None else b"".join(map(of, words))[skip:] for words in split]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _tokenized(path: str, window: int, end_id: int):
+def _tokenized(path: str, window: int, end_id: int, ranks: str | None, pattern: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path, ranks, pattern))
         end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * window
         for batch in batches:
             row = 0
@@ -191,7 +212,7 @@ def _running(rows: DataFrame, amount: Column, salts: int, name: str) -> DataFram
     return salted.join(parts, "_salt").withColumn(name, F.col("_before") + F.coalesce(F.sum("_amount").over(within), F.lit(0))).drop("_amount", "_salt", "_before")
 
 
-def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, class_width: int = CLASS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, class_width: int = CLASS, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per piece: doc, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's tokens are those of its text (null: empty) and end_id, so that an empty
@@ -203,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text
     # uid stays in step with the row, as the id column goes through Python beside the text
     kept = named.select(F.struct("uid", "doc").alias("uid"), "text")
     kind = kept.schema["uid"].dataType.simpleString()
-    tokens = kept.mapInArrow(_tokenized(tokenizer, window, end_id), f"uid {kind}, doc_tokens long, full_crcs array<long>, left_crc long, left_ids binary")
+    tokens = kept.mapInArrow(_tokenized(tokenizer, window, end_id, ranks, pattern), f"uid {kind}, doc_tokens long, full_crcs array<long>, left_crc long, left_ids binary")
     tokens = table(tokens.select("uid.uid", "uid.doc", "doc_tokens", "full_crcs", "left_crc", "left_ids"))
     left = F.col("doc_tokens") % window
     class_of = F.ceil(left / class_width).cast("int")
@@ -268,8 +289,13 @@ def _slots(planned: list[tuple[tuple[int, ...], int]]) -> tuple[list[tuple[int,
     return slots, base
 
 
+def pack_byte_bpe(docs: DataFrame) -> DataFrame:
+    """docs in sequences of at most WINDOW tokens of byte_bpe_50k.json."""
+    import public_tokenizers as P
+
+    return pack(docs, P.path("byte_bpe_50k.json"), ranks=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN)
+
+
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens of byte_bpe_50k.json."""
-    import public_tokenizers
-
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_byte_bpe(read(spark, sf_dir, "documents"))
