@@ -86,34 +86,62 @@ def _sets(words: int):
     return run
 
 
-def _cross_links(rows: int, bands: int, percent: int):
-    """Links between sides 0 and 1 of different components: one for each member of side 0 and component.
+def _floor(percent: int, size: int, deviations: int) -> float:
+    """Share of equal coordinates that a link's signatures fall below only by so many standard deviations."""
+    return percent / 100 - deviations * (percent / 100 * (1 - percent / 100) / size) ** 0.5
+
 
-    Signatures that agree far too little are passed over (five standard deviations below the
-    bound); sets are compared in the first bucket that two members share, most alike first.
+def _block(key, data: pa.Table, size: int):
+    """The component of each member of a block, and candidates(percent): for each member of side 0, those of side 1 it may link with.
+
+    Candidates are of other components, of fitting size, share this bucket first with the
+    member, and have signatures that don't agree far too little (five standard deviations
+    below the bound); they come most alike first.
     """
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (rows * bands)) ** 0.5
+    comp, side, n = (data.column(k).to_numpy() for k in ("component", "side", "n_shingles"))
+    mark = np.frombuffer(b"".join(data.column("mark").to_pylist()), dtype=np.uint32).reshape(len(comp), size)
+    band = np.array(data.column("bands").to_pylist(), dtype=np.int64)
+    here = int(np.flatnonzero((band == key[0].as_py()).any(axis=0))[0])
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def candidates(percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        for i in a:
+            others = b[(comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
+            others = others[(band[others] == band[i]).argmax(axis=1) == here]
+            same = (mark[others] == mark[i]).mean(axis=1)
+            order = np.argsort(-same, kind="stable")
+            yield i, others[order[same[order] >= _floor(percent, size, 5)]]
+
+    return comp, candidates
+
+
+def _cross_members(rows: int, bands: int, percent: int):
+    """The members of a block that have a candidate or are one, by signatures alone."""
+
+    def run(key, data):
+        data = data.combine_chunks()
+        asked = np.zeros(len(data), dtype=bool)
+        for i, others in _block(key, data, rows * bands)[1](percent):
+            asked[others] = True
+            asked[i] |= len(others) > 0
+        return data.select(["bucket", "i", "j", "side", "rep", "component"]).filter(pa.array(asked))
+
+    return run
+
+
+def _cross_links(rows: int, bands: int, percent: int):
+    """Links between sides 0 and 1 of different components, on full sets: one for each member of side 0 and component."""
 
     def run(key, data):
         data = data.combine_chunks()
-        rep, comp, side = (data.column(k).to_numpy() for k in ("rep", "component", "side"))
-        mark = np.frombuffer(b"".join(data.column("mark").to_pylist()), dtype=np.uint32).reshape(len(rep), rows * bands)
-        band = np.array(data.column("bands").to_pylist(), dtype=np.int64)
-        listed = data.column("items").chunk(0)
+        comp, candidates = _block(key, data, rows * bands)
+        rep, listed = data.column("rep").to_numpy(), data.column("items").chunk(0)
         offsets, values = listed.offsets.to_numpy(), listed.values.to_numpy()
         n = np.diff(offsets)
-        here = int(np.flatnonzero((band == key[0].as_py()).any(axis=0))[0])
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         left, right = [], []
-        for i in a:
-            others = b[(comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))]
-            others = others[(band[others] == band[i]).argmax(axis=1) == here]
-            same = (mark[others] == mark[i]).mean(axis=1)
+        for i, others in candidates(percent):
             joined = set()
-            for k in np.argsort(-same, kind="stable"):
-                if same[k] < least:
-                    break
-                j = others[k]
+            for j in others:
                 if comp[j] in joined:
                     continue
                 met = len(np.intersect1d(values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]], assume_unique=True))
@@ -126,12 +154,30 @@ def _cross_links(rows: int, bands: int, percent: int):
     return run
 
 
+def _agreeing(percent: int):
+    """Pairs whose signatures don't agree far too little (six standard deviations below the bound)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for k in ("mm", "mh"))
+            keep = (a == b).mean(axis=1) >= _floor(percent, a.shape[1], 6)
+            yield batch.select(["member", "hub", "nm", "nh"]).filter(pa.array(keep))
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, sizes: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """pairs(member, hub) whose sets meet percent / 100 in Jaccard similarity, exactly; hubs with many members are salted."""
-    n = sizes.select("rep", "n_shingles")
-    sized = pairs.join(n.withColumnsRenamed({"rep": "member", "n_shingles": "nm"}), "member").join(n.withColumnsRenamed({"rep": "hub", "n_shingles": "nh"}), "hub")
+    """pairs(member, hub) whose sets meet percent / 100 in Jaccard similarity, exactly; hubs with many members are salted.
+
+    Sets are sent only for pairs whose sizes and signatures leave a link possible.
+    """
+    n = sizes.select("rep", "n_shingles", "mark")
+    sized = pairs.join(n.withColumnsRenamed({"rep": "member", "n_shingles": "nm", "mark": "mm"}), "member").join(n.withColumnsRenamed({"rep": "hub", "n_shingles": "nh", "mark": "mh"}), "hub")
     # |A & B| <= min and |A | B| >= max, so a link needs 100 min >= percent max
-    sized = sized.where(100 * F.least("nm", "nh") >= percent * F.greatest("nm", "nh"))
+    sized = sized.where(100 * F.least("nm", "nh") >= percent * F.greatest("nm", "nh")).select("member", "hub", "nm", "nh", "mm", "mh")
+    sized = table(sized.mapInArrow(_agreeing(percent), "member long, hub long, nm long, nh long"))
     parts = sized.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("parts"))
     hubs = items.withColumnRenamed("rep", "hub").join(parts, "hub").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     hubs = hubs.select("hub", "part", F.col("items").alias("hub_items"))
@@ -197,13 +243,15 @@ def _unique(signs: DataFrame) -> bool:
 
 def _cross(labelled: DataFrame, mixed: DataFrame, reps: DataFrame, items: DataFrame, rows: int, bands: int, percent: int) -> DataFrame:
     """Links (a, b) of members outside their bucket's main component to members of other components, from blocks of either."""
-    members = labelled.join(mixed, "bucket").join(reps.select("rep", "mark", "bands"), "rep").join(items, "rep")
+    signed_reps = reps.select("rep", "n_shingles", "mark", "bands")
+    members = labelled.join(mixed, "bucket").join(signed_reps, "rep")
     h, minor = F.xxhash64("rep"), F.col("component") != F.col("main")
     cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     asks = F.when(minor, F.transform(F.sequence(F.lit(0), F.col("asked") - 1), lambda j: cell(F.pmod(h, F.col("asking")), j, 0)))
     answers = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: cell(i, F.pmod(h, F.col("asked")), 1))
-    sided = members.withColumn("cell", F.explode(F.concat(F.coalesce(asks, F.array().cast("array<struct<i:int,j:int,side:int>>")), answers))).select("bucket", "cell.*", "rep", "component", "mark", "bands", "items")
-    return sided.groupBy("bucket", "i", "j").applyInArrow(_cross_links(rows, bands, percent), "a long, b long")
+    sided = members.withColumn("cell", F.explode(F.concat(F.coalesce(asks, F.array().cast("array<struct<i:int,j:int,side:int>>")), answers))).select("bucket", "cell.*", "rep", "component", "n_shingles", "mark", "bands")
+    found = table(sided.groupBy("bucket", "i", "j").applyInArrow(_cross_members(rows, bands, percent), "bucket long, i int, j int, side int, rep long, component long"))
+    return found.join(signed_reps, "rep").join(items, "rep").groupBy("bucket", "i", "j").applyInArrow(_cross_links(rows, bands, percent), "a long, b long")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
