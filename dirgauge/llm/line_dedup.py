@@ -141,7 +141,8 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     named = docs.select(_identity(doc, text).alias("at"), F.col(text).alias("text"))
     known = table(named.mapInArrow(_line_keys, "at struct<doc:bigint,key:bigint>, keys array<long>, words array<long>"))
     spread = known.select("at", F.explode(F.array_distinct("keys")).alias("line")).where("line <> 0")
-    first = spread.groupBy("line").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("line", "first")
+    # written first, so that the join has a stage of its own, in which a very common line can be split
+    first = table(spread.groupBy("line").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("line", "first"))
     pairs = table(spread.join(first, "line").where("at <> first").select("at", "first").distinct())
     lines = known.dropDuplicates(["at"])
     sides = pairs.join(lines.select(F.col("at").alias("first"), F.col("keys").alias("first_keys")), "first").join(lines, "at")
