@@ -143,12 +143,14 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     spread = known.select("at", F.explode(F.array_distinct("keys")).alias("line")).where("line <> 0")
     # written first, so that the join has a stage of its own, in which a very common line can be split
     first = table(spread.groupBy("line").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("line", "first"))
-    pairs = table(spread.join(first, "line").where("at <> first").select("at", "first").distinct())
-    lines = known.dropDuplicates(["at"])
-    sides = pairs.join(lines.select(F.col("at").alias("first"), F.col("keys").alias("first_keys")), "first").join(lines, "at")
+    pairs = table(spread.join(first.hint("merge"), "line").where("at <> first").select("at", "first").distinct())
+    repeated = not known.groupBy("at").count().where("count > 1").isEmpty()
+    lines = table(known.dropDuplicates(["at"])) if repeated else known
+    # no side has a proven size bound, so none is broadcast, and the plan is the same at every size
+    sides = pairs.hint("merge").join(lines.select(F.col("at").alias("first"), F.col("keys").alias("first_keys")), "first").hint("merge").join(lines, "at")
     gone = sides.select("at", "first_keys", "keys", "words").mapInArrow(_align(min_words), "at struct<doc:bigint,key:bigint>, gone array<long>")
     gone = table(gone.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_dg_gone")))
-    out = docs.withColumn("_dg_at", _identity(doc, text)).join(gone.withColumnRenamed("at", "_dg_at"), "_dg_at", "left")
+    out = docs.withColumn("_dg_at", _identity(doc, text)).join(gone.withColumnRenamed("at", "_dg_at").hint("merge"), "_dg_at", "left")
     parts = F.split(F.col(text), "\n")
     rest = F.when(F.size("_dg_gone") == F.size(parts), F.lit("")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_dg_gone", i.cast("long"))), "\n"))
     out = out.withColumns({text: F.when(F.col("_dg_gone").isNull(), F.col(text)).otherwise(rest), removed: F.coalesce(F.size("_dg_gone"), F.lit(0)).cast("long")})
