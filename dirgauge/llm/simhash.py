@@ -115,20 +115,23 @@ def near_fingerprints(prints: DataFrame, name: str = "fingerprint", radius: int
     return pairs.withColumn("distance", distance(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
 
 
-def with_next(docs: DataFrame, doc: str, columns: list[str], names: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, doc: str, columns: list[str], names: list[str], ids: DataFrame | None = None) -> DataFrame:
     """docs with the columns of the next row in descending order of doc under names; the last row's next is the first.
 
+    ids has the doc column of docs, for counts and quantiles, where that is cheaper to read than docs.
+
     Nulls come last; rows of equal ids are ordered by a hash of all columns. The order is cut
     into parts of about PART_ROWS rows by quantiles of the ids (MAX_PARTS at most, later
     larger ones); the first row of each part is sent to the part before as well.
     """
-    n = docs.count()
+    ids = docs.select(doc) if ids is None else ids.select(doc)
+    n = ids.count()
     parts = int(min(MAX_PARTS, max(1, n // PART_ROWS)))
     shares = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(docs.agg(F.percentile_approx(doc, F.array(*map(F.lit, shares)), 10 * MAX_PARTS)).first()[0] or ())) if shares else []
+    bounds = sorted(set(ids.agg(F.percentile_approx(doc, F.array(*map(F.lit, shares)), 10 * MAX_PARTS)).first()[0] or ())) if shares else []
     part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(doc))), F.lit(0)) if bounds else F.lit(0)
     part = F.when(F.col(doc).isNull(), 0).otherwise(part)
-    tops = dict(docs.groupBy(part.alias("part")).agg(F.max(doc)).collect())  # a row for each part
+    tops = dict(ids.groupBy(part.alias("part")).agg(F.max(doc)).collect())  # a row for each part
     order = sorted(tops, reverse=True)
     before = {p: order[k - 1] for k, p in enumerate(order)}
     # rows that lead a part also close the part before
@@ -147,7 +150,7 @@ def with_next(docs: DataFrame, doc: str, columns: list[str], names: list[str]) -
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Every whole text and its edited text, the last third replaced from the next document by descending id."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    printed = with_next(with_fingerprint(docs, "text", "own"), "doc_id", ["text", "own"], ["next_text", "next_print"])
+    printed = with_next(with_fingerprint(docs, "text", "own"), "doc_id", ["text", "own"], ["next_text", "next_print"], ids=docs)
     n = F.length("text").cast("long")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third))
