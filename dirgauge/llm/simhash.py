@@ -1,8 +1,8 @@
 """Document fingerprints: SimHash over words and runs of words, and a search by Hamming radius.
 
 Terms are words, pairs and triples of words; in short texts also runs of bytes, so that
-they have enough. Each distinct term votes on every bit of the fingerprint with its weight,
-damped by the logarithm of its frequency; a bit is set if the votes for it are positive.
+they have enough. Each distinct term votes on every bit of the fingerprint with its weight
+times one plus the whole part of the logarithm of its frequency; a bit is set if the votes for it are positive.
 
 The search puts fingerprints into permuted block tables: bits are cut into blocks, and if
 two fingerprints differ in at most radius bits, at least blocks - radius blocks are equal.
@@ -21,48 +21,86 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dirgauge.llm.common import read
-from dirgauge.llm.textkeys import BYTE_VALUES, lists, mix, shingles, signed, text_pieces, words
+from dirgauge.llm.textkeys import BYTE_VALUES, mix, shingles, text_pieces, words
 
 BITS = 128
 #: Weights of words, pairs, triples; of runs of bytes in texts of up to SHORT bytes, by length of the run.
-TERM_WEIGHTS = {1: 0.5, 2: 1.0, 3: 1.0}
-SHORT, BYTE_WEIGHTS = 400, {2: 0.5, 4: 0.5}
+TERM_WEIGHTS = {1: 1, 2: 2, 3: 2}
+SHORT, BYTE_WEIGHTS = 400, {2: 1, 4: 1}
+#: Low bits of a term's hash that count; the bits above hold the text's number among up to GROUP.
+HASH_BITS = 52
+GROUP = 1 << (64 - HASH_BITS)
+#: One bit in each byte of a 64-bit value: eight counters, which hold sums of up to 255 values.
+_EVERY_BYTE, _FULL = np.uint64(0x0101010101010101), 255
+
 #: Documents of one part of the order by id, and parts at most.
 PART_ROWS, MAX_PARTS = 1000, 2000
 
-_SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), 1.0, -1.0)
 
+def _ones(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run of values (lengths are positive) how many have each of BITS hash bits set."""
+    blocks = -(-lengths // _FULL)
+    first = np.cumsum(blocks) - blocks
+    at = np.repeat(starts, blocks) + (np.arange(blocks.sum()) - np.repeat(first, blocks)) * _FULL
+    out = np.empty((len(starts), BITS // 64, 8, 8), dtype=np.int64)
+    for k in range(BITS // 64):
+        spread = mix(values + np.uint64(64 * k + 1))
+        for j in range(8):
+            sums = np.add.reduceat((spread >> np.uint64(j)) & _EVERY_BYTE, at)
+            out[:, k, :, j] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+    return out.reshape(len(starts), BITS)
 
-def votes(terms: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    """Sum of the signed votes on each bit; terms are hashes, with repeats, by weight."""
-    out = np.zeros((BITS // 8, 8))
-    for hashes, weight in terms:
-        if not len(hashes):
-            continue
-        distinct, n = np.unique(hashes, return_counts=True)
-        weights = weight * (1 + np.log(n))
-        for k in range(0, BITS, 64):
-            spread = mix(distinct + np.uint64(k + 1)).view(np.uint8).reshape(-1, 8)
-            for j in range(8):
-                out[k // 8 + j] += np.bincount(spread[:, j], weights=weights, minlength=256) @ _SIGNS
-    return out.ravel()
 
+def _vote(out: np.ndarray, hashes: np.ndarray, owner: np.ndarray, weight: int) -> None:
+    """Adds to out (texts by bits) the votes of each text's distinct terms.
 
-def _fingerprint(hashes: np.ndarray, data: np.ndarray) -> np.ndarray:
-    terms = [(mix(shingles(hashes, n) + np.uint64(n)) if len(hashes) >= n else hashes[:0], w) for n, w in TERM_WEIGHTS.items()]
-    if len(data) <= SHORT:
-        values = BYTE_VALUES[False][data]
-        terms += [(mix(shingles(values, n) + np.uint64(n + 64)) if len(values) >= n else values[:0], w) for n, w in BYTE_WEIGHTS.items()]
-    return signed(np.packbits(votes(terms) > 0, bitorder="little").view(np.uint64))
+    A term that a text has n times votes 1 + floor(log2(n)) times. All sums are of whole
+    numbers, so that equal texts have equal votes whatever texts they are handled with.
+    """
+    if not len(hashes):
+        return
+    mask = np.uint64((1 << HASH_BITS) - 1)
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(HASH_BITS)) | (hashes & mask))
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.frexp(np.diff(begins, append=len(keys)))[1]
+    keys = np.repeat(keys[begins], times)
+    texts = (keys >> np.uint64(HASH_BITS)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
+    lengths = np.diff(starts, append=len(keys))
+    out[texts[starts]] += weight * (2 * _ones(keys & mask, starts, lengths) - lengths[:, None])
+
+
+def _runs(out: np.ndarray, values: np.ndarray, owner: np.ndarray, weights: dict[int, int], kind: int) -> None:
+    """Votes of the runs of each length in weights, within one text each."""
+    for n, weight in weights.items():
+        if len(values) >= n:
+            inside = owner[n - 1 :] == owner[: len(owner) - n + 1]
+            _vote(out, mix(shingles(values, n)[inside] + np.uint64(n + kind)), owner[n - 1 :][inside], weight)
+
+
+def votes(hashes: np.ndarray, begins: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the signed votes on each bit for up to GROUP texts that lie end to end; begins are their words' places."""
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), BITS), dtype=np.int64)
+    _runs(out, hashes, np.repeat(np.arange(len(sizes)), np.diff(begins)), TERM_WEIGHTS, 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    short = np.repeat(sizes <= SHORT, sizes)
+    _runs(out, BYTE_VALUES[False][data[short]], owner[short], BYTE_WEIGHTS, 64)
+    return out
 
 
 def fingerprints(texts: pa.Array) -> pa.Array:
     """For each text BITS bits, as a list of signed 64-bit numbers; null texts are empty, empty ones have no bit set."""
-    out = []
+    out = [np.zeros((0, BITS // 64), dtype=np.int64)]
     for _, _, data, offsets in text_pieces(texts):
         hashes, begins = words(data, offsets, fold=False)
-        out += [_fingerprint(hashes[begins[k] : begins[k + 1]], data[offsets[k] : offsets[k + 1]]) for k in range(len(offsets) - 1)]
-    return lists(out, pa.int64())
+        for k in range(0, len(offsets) - 1, GROUP):
+            ends = offsets[k : k + GROUP + 1]
+            at = begins[k : k + GROUP + 1]
+            counted = votes(hashes[at[0] : at[-1]], at - at[0], data[ends[0] : ends[-1]], ends - ends[0])
+            out.append(np.packbits(counted > 0, axis=1, bitorder="little").view(np.int64))
+    flat = np.concatenate(out)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
 
 def _fingerprinted(at: int):
