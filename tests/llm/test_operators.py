@@ -1,15 +1,17 @@
 """The training-data operators on small fixtures with every odd case, against brute force."""
 
+import collections
 import itertools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from dirgauge.llm import chat_format, components, embedding_dedup, line_dedup, minhash, mixing, packing, quality, simhash, token_counts, url_filter
+from dirgauge.llm import chat_format, components, embedding_dedup, line_dedup, minhash, mixing, packing, quality, simhash, textkeys, token_counts, url_filter
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, rep string, uid int"
 rng = random.Random(5)
@@ -146,6 +148,27 @@ def test_simhash(spark, docs, none):
     assert follow == {k: (k - 1) % n for k in range(n)}
 
 
+def test_simhash_votes(texts):
+    def brute(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        hashes, _ = textkeys.words(data, np.array([0, len(data)]), fold=False)
+        runs = [(hashes, n, w, 0) for n, w in simhash.TERM_WEIGHTS.items()]
+        if len(data) <= simhash.SHORT:
+            runs += [(textkeys.BYTE_VALUES[False][data], n, w, 64) for n, w in simhash.BYTE_WEIGHTS.items()]
+        votes = [0] * simhash.BITS
+        for values, n, weight, kind in runs:
+            terms = textkeys.mix(textkeys.shingles(values, n) + np.uint64(n + kind)) if len(values) >= n else []
+            for term, times in collections.Counter(int(t) % (1 << simhash.HASH_BITS) for t in terms).items():
+                spread = b"".join(textkeys.mix(np.array([term + 64 * k + 1], dtype=np.uint64)).tobytes() for k in range(2))
+                for i in range(simhash.BITS):
+                    votes[i] += weight * times.bit_length() * (1 if spread[i // 8] >> i % 8 & 1 else -1)
+        return sum((v > 0) << i for i, v in enumerate(votes)).to_bytes(16, "little")
+
+    rows = [None, "", "a", "a a a a", "same same", " \n", *[t for t in texts if t][:5], words(700), "again " * 600]
+    got = simhash.fingerprints(pa.array(rows)).to_pylist()
+    assert [np.array(f, dtype=np.int64).tobytes() for f in got] == [brute(t or "") for t in rows]
+
+
 def test_token_counts(docs, none, texts):
     v = token_counts.Vocabulary(P.path("piece_bpe_32k.model"))
 
