@@ -6,7 +6,9 @@ lines, however common a line is, and rare lines lead to all documents that share
 Each pair is aligned by patience diff: lines that are unique on both sides and in the
 longest common order are anchors, the stretches between are aligned in the same way, and
 equal lines beside anchors join them. Aligned runs of enough words go from the later
-document. The first document that holds a line never loses it, so that one copy stays.
+document. What is not aligned (repeated or in another order) goes if it lies in a window,
+the shortest run of enough words from a line on or up to a line, that the earlier document
+has anywhere. The first document that holds a line never loses it, so that one copy stays.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirgauge.llm.common import read, table
-from dirgauge.llm.textkeys import lists, mix, signed, text_pieces, word_places
+from dirgauge.llm.textkeys import _powers_to, lists, mix, signed, text_pieces, word_places
 
 MIN_WORDS = 50
 
@@ -55,6 +57,23 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), lists(keys, pa.int64()), lists(counts, pa.int64())], names=["at", "keys", "words"])
 
 
+def windows(keys: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, hash) of the shortest runs of at least so many words from each line on and up to each line."""
+    n, least = len(keys), max(1, least)
+    total = np.concatenate(([0], np.cumsum(words)))
+    end = np.searchsorted(total, total[:-1] + least)
+    from_line = np.flatnonzero(end <= n)
+    first = np.searchsorted(total, total[1:] - least, side="right") - 1
+    to_line = np.flatnonzero(first >= 0)
+    lo = np.concatenate((from_line, first[to_line]))
+    hi = np.concatenate((end[from_line], to_line + 1))
+    power, inverse = _powers_to(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    # a blank line counts as well
+    np.cumsum(mix(keys.view(np.uint64) + _FACTOR) * power[:n], out=sums[1:])
+    return lo, hi, mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+
+
 def _anchors(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b: int) -> list[tuple[int, int]]:
     """Positions of lines unique in both stretches, in their longest common order; blank lines are no anchors."""
     in_a, in_b = Counter(a[lo_a:hi_a]), Counter(b[lo_b:hi_b])
@@ -102,15 +121,28 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions in b of aligned runs that hold at least so many words; words is b's."""
-    out, run = [], []
+    """Positions in b, ascending, of the runs of at least so many words that a has as well; words is b's.
+
+    Aligned runs first; then, where lines are left, all that lie in a window that a has.
+    """
+    out, run = set(), []
     for i, j in [*patience(a, b), (-2, -2)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
             if sum(words[k] for _, k in run) >= least:
-                out += [k for _, k in run]
+                out.update(k for _, k in run)
             run = []
         run.append((i, j))
-    return out
+    if len(out) < len(b):
+        of = dict(zip(b, words, strict=True))
+        a_words = [of.get(x, least) for x in a]  # a line that b lacks is in no common window
+        _, _, held = windows(np.array(a, dtype=np.int64), np.array(a_words, dtype=np.int64), least)
+        lo, hi, runs = windows(np.array(b, dtype=np.int64), np.array(words, dtype=np.int64), least)
+        common = np.isin(runs, held)
+        depth = np.zeros(len(b) + 1, dtype=np.int64)
+        np.add.at(depth, lo[common], 1)
+        np.add.at(depth, hi[common], -1)
+        out.update(np.flatnonzero(np.cumsum(depth[:-1]) > 0).tolist())
+    return sorted(out)
 
 
 def _align(least: int):

@@ -233,3 +233,9 @@ def test_quality(spark, docs, none):
     assert quality.train(both, labels.where("false")).rules == ()
 
 
+
+
+def test_common_blocks_without_anchors():
+    assert line_dedup.common_blocks([7, 1, 2, 3, 8, 1, 2, 3, 9], [5, 1, 2, 3, 6], [20] * 5, 50) == [1, 2, 3]
+    assert line_dedup.common_blocks([7, 1, 2, 3, 9], [1, 2, 3, 5, 1, 2, 3, 6], [20] * 8, 50) == [0, 1, 2, 4, 5, 6]
+    assert line_dedup.common_blocks([1, 2, 3, 4, 5, 6, 7], [5, 6, 7, 8, 1, 2, 3, 4], [20] * 8, 50) == [0, 1, 2, 4, 5, 6, 7]
