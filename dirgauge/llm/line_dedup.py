@@ -1,14 +1,16 @@
 """Line dedup: remove from a document the blocks of lines that an earlier one has.
 
-Lines are compared as sequences of words. For each line in more than one document, every
-later document is paired with the first that has it; so there are no more pairs than
-lines, however common a line is, and rare lines lead to all documents that share them.
+Lines are compared as sequences of words. A window is the shortest run of lines of enough
+words from a line on, or up to a line. For each window in more than one document, every
+later document is paired with the first that has it; so there are at most two pairs a
+line, however common it is. Every common run of enough words is made of such windows, so
+the first holders of a document's windows have all that any earlier document has of it.
 Each pair is aligned by patience diff: lines that are unique on both sides and in the
 longest common order are anchors, the stretches between are aligned in the same way, and
 equal lines beside anchors join them. Aligned runs of enough words go from the later
-document. What is not aligned (repeated or in another order) goes if it lies in a window,
-the shortest run of enough words from a line on or up to a line, that the earlier document
-has anywhere. The first document that holds a line never loses it, so that one copy stays.
+document. What is not aligned (repeated or in another order) goes if it lies in a window
+that the earlier document has anywhere. The first document that holds a line never loses
+it, so that one copy stays.
 """
 
 from __future__ import annotations
@@ -31,30 +33,35 @@ MIN_WORDS = 50
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
-def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, keys, words): for each line of each text, a hash of its words and their number; 0 and 0 for a blank line."""
-    power = np.cumprod(np.full(64, _FACTOR))
-    for batch in batches:
-        keys, counts = [], []
-        for _, _, data, offsets in text_pieces(batch.column(1)):
-            hashes, begin = word_places(data, offsets, fold=False)
-            feeds = np.flatnonzero(data == 0x0A)
-            feed_of = np.searchsorted(feeds, offsets)
-            for k in range(len(offsets) - 1):
-                starts = np.concatenate((offsets[k : k + 1], feeds[feed_of[k] : feed_of[k + 1]] + 1, offsets[k + 1 : k + 2]))
-                first = np.searchsorted(begin, starts)
-                n = np.diff(first)
-                own = hashes[first[0] : first[-1]]
-                place = np.arange(len(own)) - np.repeat(first[:-1] - first[0], n)
-                if len(own) and len(power) <= place.max():
-                    power = np.cumprod(np.full(int(place.max()) + 1, _FACTOR))
-                sums = np.zeros(len(own) + 1, dtype=np.uint64)
-                np.cumsum(own * power[place], out=sums[1:])
-                line = mix(np.diff(sums[first - first[0]]) + n.astype(np.uint64))
-                line[n == 0] = 0
-                keys.append(signed(line))
-                counts.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists(keys, pa.int64()), lists(counts, pa.int64())], names=["at", "keys", "words"])
+def _line_keys(least: int):
+    """(at, keys, words, windows): for each line of each text, a hash of its words and their number (0 and 0 for a blank line); the text's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = np.cumprod(np.full(64, _FACTOR))
+        for batch in batches:
+            keys, counts, runs = [], [], []
+            for _, _, data, offsets in text_pieces(batch.column(1)):
+                hashes, begin = word_places(data, offsets, fold=False)
+                feeds = np.flatnonzero(data == 0x0A)
+                feed_of = np.searchsorted(feeds, offsets)
+                for k in range(len(offsets) - 1):
+                    starts = np.concatenate((offsets[k : k + 1], feeds[feed_of[k] : feed_of[k + 1]] + 1, offsets[k + 1 : k + 2]))
+                    first = np.searchsorted(begin, starts)
+                    n = np.diff(first)
+                    own = hashes[first[0] : first[-1]]
+                    place = np.arange(len(own)) - np.repeat(first[:-1] - first[0], n)
+                    if len(own) and len(power) <= place.max():
+                        power = np.cumprod(np.full(int(place.max()) + 1, _FACTOR))
+                    sums = np.zeros(len(own) + 1, dtype=np.uint64)
+                    np.cumsum(own * power[place], out=sums[1:])
+                    line = mix(np.diff(sums[first - first[0]]) + n.astype(np.uint64))
+                    line[n == 0] = 0
+                    keys.append(signed(line))
+                    counts.append(n)
+                    runs.append(signed(np.unique(windows(keys[-1], n, least)[2])) if len(own) >= least else keys[-1][:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(keys, pa.int64()), lists(counts, pa.int64()), lists(runs, pa.int64())], names=["at", "keys", "words", "windows"])
+
+    return run
 
 
 def windows(keys: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,13 +178,14 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     stay as they are; an empty table stays empty.
     """
     named = docs.select(_identity(doc, text).alias("at"), F.col(text).alias("text"))
-    known = table(named.mapInArrow(_line_keys, "at struct<doc:bigint,key:bigint>, keys array<long>, words array<long>"))
-    spread = known.select("at", F.explode(F.array_distinct("keys")).alias("line")).where("line <> 0")
-    # written first, so that the join has a stage of its own, in which a very common line can be split
-    first = table(spread.groupBy("line").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("line", "first"))
-    pairs = table(spread.join(first.hint("merge"), "line").where("at <> first").select("at", "first").distinct())
+    known = table(named.mapInArrow(_line_keys(min_words), "at struct<doc:bigint,key:bigint>, keys array<long>, words array<long>, windows array<long>"))
+    spread = known.select("at", F.explode("windows").alias("window"))
+    # written first, so that the join has a stage of its own, in which a very common window can be split
+    first = table(spread.groupBy("window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("window", "first"))
+    pairs = table(spread.join(first.hint("merge"), "window").where("at <> first").select("at", "first").distinct())
     repeated = not known.groupBy("at").count().where("count > 1").isEmpty()
-    lines = table(known.dropDuplicates(["at"])) if repeated else known
+    lines = known.select("at", "keys", "words")
+    lines = table(lines.dropDuplicates(["at"])) if repeated else lines
     # no side has a proven size bound, so none is broadcast, and the plan is the same at every size
     sides = pairs.hint("merge").join(lines.select(F.col("at").alias("first"), F.col("keys").alias("first_keys")), "first").hint("merge").join(lines, "at")
     gone = sides.select("at", "first_keys", "keys", "words").mapInArrow(_align(min_words), "at struct<doc:bigint,key:bigint>, gone array<long>")

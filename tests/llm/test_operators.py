@@ -235,6 +235,33 @@ def test_quality(spark, docs, none):
 
 
 
+def test_line_dedup_against_all_pairs(spark):
+    r = random.Random(8)
+    line = ["", *(f"l{k} " + " ".join(f"w{r.randrange(99)}" for _ in range(n - 1)) for k, n in enumerate([1, 3, 10, 15, 20, 20, 20, 25, 49, 50, 60]))]
+    x, y = line[7], line[8]
+    passage, other, much = line[3:7], line[5:8], line[4:8]
+    held = [
+        ["head", *passage, "mid", *passage, "foot"], ["start", *passage, "end"],  # twice in the first
+        ["start", *passage, "between", *passage, "end"],  # twice in the later one
+        ["aa", *much, "bb", *other, x, x, "cc"], ["dd", *other, x, x, "ee", *much, "ff"],  # in opposite order
+        [*passage[:2], y, *passage[2:]], [line[10], line[3]], [line[10]], [line[10], line[3], "new"],
+        *([r.choice(line) for _ in range(r.randint(1, 12))] for _ in range(60)),
+    ]
+    count = lambda lines: sum(len(t.split()) for t in lines)
+    runs = [{tuple(d[i:j]) for i in range(len(d)) for j in range(i + 1, len(d) + 1) if count(d[i:j]) >= 50} for d in held]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate("\n".join(d) for d in held)), "doc_id bigint, text string")))
+    for k, d in enumerate(held):
+        gone = {p for i in range(len(d)) for j in range(i + 1, len(d) + 1) if any(tuple(d[i:j]) in s for s in runs[:k]) for p in range(i, j)}
+        assert (got[k].n_removed, got[k].text) == (len(gone), "\n".join(t for p, t in enumerate(d) if p not in gone))
+
+
+def test_line_dedup_passage_of_lines_first_held_elsewhere(spark):
+    line = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcde"]
+    texts = ["\n".join([*line[:2], line[4], *line[2:4]]), "\n".join(line[:4]), "\n".join(line[:4])]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [got[k].text for k in range(3)] == [*texts[:2], ""]
+
+
 def test_common_blocks_without_anchors():
     assert line_dedup.common_blocks([7, 1, 2, 3, 8, 1, 2, 3, 9], [5, 1, 2, 3, 6], [20] * 5, 50) == [1, 2, 3]
     assert line_dedup.common_blocks([7, 1, 2, 3, 9], [1, 2, 3, 5, 1, 2, 3, 6], [20] * 8, 50) == [0, 1, 2, 4, 5, 6]
