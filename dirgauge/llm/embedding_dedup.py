@@ -3,10 +3,12 @@
 Each half of the unit vectors has a codebook of its own, fitted on a bounded sample; a
 vector's cell is its nearest centre in either half, a cell of the product grid. A vector
 visits the grid's cells in the order of a multi-sequence traversal, by the sum of its
-squared distances to the two centres. How many cells it visits is measured: sampled vectors
-are compared with all rows by brute force, and the depth is the least at which the target
-share of their links lies in visited cells. Visited cells' vectors are then compared by
-cosine in double precision.
+squared distances to the two centres. How many cells it visits is measured in two ways, and
+the larger depth counts: sampled vectors get made-up partners at the threshold in random
+directions, the farthest that still link, and the target share of them is found from either
+side, however few links the table has; and sampled vectors are compared with all rows by
+brute force, and the target share of their links lies in visited cells. Visited cells'
+vectors are then compared by cosine in double precision.
 
 Equal vectors are one class with a weight. Cells are cut into blocks, so that one with very
 many vectors is the work of many tasks; a block gives counts and the edges of a spanning
@@ -28,6 +30,8 @@ from dirgauge.llm.components import connected_components
 #: Vectors the codebooks are fitted on, and vectors whose links are searched by brute force, about.
 FIT_ROWS, PROBE_ROWS = 8192, 256
 TARGET_RECALL, LEAST_CELLS = 0.9995, 4
+#: Made-up partners of each probe.
+PARTNERS = 32
 CELL_ROWS, ASKING, ASKED = 64, 1024, 1024
 
 
@@ -83,6 +87,23 @@ def _ranks(queries: np.ndarray, ids: np.ndarray, books: tuple[np.ndarray, np.nda
     return run
 
 
+def _partner_ranks(queries: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """For PARTNERS vectors at the threshold from each query the rank of one's cell for the other, on the side where it is less; ascending."""
+    half, rng, out = queries.shape[1] // 2, np.random.default_rng(0), []
+    for q in queries:
+        away = rng.normal(size=(PARTNERS, len(q)))
+        away -= (away @ q)[:, None] * q
+        near = threshold * q + max(0.0, 1 - threshold**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+        q1, q2 = (_squares(x, c)[0] for x, c in ((q[None, :half], books[0]), (q[None, half:], books[1])))
+        p1, p2 = _squares(near[:, :half], books[0]), _squares(near[:, half:], books[1])
+        a, b, sorted_q2 = q1.argmin(), q2.argmin(), np.sort(q2)
+        for d1, d2 in zip(p1, p2, strict=True):
+            own = q1[d1.argmin()] + q2[d2.argmin()]
+            back = d1[a] + d2[b]
+            out.append(min(np.searchsorted(sorted_q2, own - q1).sum(), np.searchsorted(np.sort(d2), back - d1).sum()))
+    return np.sort(out)
+
+
 def _celled(books: tuple[np.ndarray, np.ndarray], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +125,7 @@ def _block(threshold: float):
         home = data.column("home").to_numpy()
         x = _unit(data.column("v").to_pylist())
         rep, weight = data.column("rep").to_numpy(), data.column("weight").to_numpy()
-        cells = np.array(data.column("cells").to_pylist(), dtype=np.int64)
+        cells = data.column("cells").to_pylist()
         residents, visitors = np.flatnonzero(home == 1), np.flatnonzero(home == 0)
         counts: dict[int, int] = {}
         up = np.arange(len(rep))
@@ -122,7 +143,7 @@ def _block(threshold: float):
                 if rep[i] == rep[j]:
                     continue
                 counts[rep[i]] = counts.get(rep[i], 0) + int(weight[j])
-                if cells[i, 0] not in cells[j]:  # j doesn't visit i's own cell, so it is told here
+                if cells[i][0] not in cells[j]:  # j doesn't visit i's own cell, so it is told here
                     counts[rep[j]] = counts.get(rep[j], 0) + int(weight[i])
                 a, b = top(i), top(j)
                 if a != b:
@@ -174,8 +195,10 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     half, k = x.shape[1] // 2, int(np.clip(round((n / CELL_ROWS) ** 0.5), 1, min(1024, len(x))))
     books = (_centres(x[:, :half], k), _centres(x[:, half:], k))
     probes = part(PROBE_ROWS, 2).select("rep", "v").toPandas().sort_values("rep")  # about PROBE_ROWS rows
-    ranks = classes.select("rep", "v").mapInArrow(_ranks(_unit(probes["v"].tolist()), probes["rep"].to_numpy(), books, threshold), "rank long").groupBy("rank").count().toPandas().sort_values("rank")  # a row for each cell at most
-    depth = min(LEAST_CELLS, k * k)
+    asked = _unit(probes["v"].tolist())
+    ranks = classes.select("rep", "v").mapInArrow(_ranks(asked, probes["rep"].to_numpy(), books, threshold), "rank long").groupBy("rank").count().toPandas().sort_values("rank")  # a row for each cell at most
+    made_up = _partner_ranks(asked, books, threshold)
+    depth = max(LEAST_CELLS, int(made_up[int(np.ceil(TARGET_RECALL * len(made_up))) - 1]) + 1)
     if len(ranks):
         share = ranks["count"].cumsum() / ranks["count"].sum()
         depth = max(depth, int(ranks["rank"][share >= TARGET_RECALL].iloc[0]) + 1)
@@ -186,7 +209,7 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     blocks = table(sizes.join(asking, "cell"))  # a row for each cell at most
     h = F.xxhash64("rep")
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    visitors = visits.join(blocks, "cell").select("cell", F.pmod(h, F.col("asking")).cast("int").alias("i"), F.explode(each("asked")).alias("j"), F.lit(0).alias("home"), "rep", "v", "weight", "cells")
+    visitors = visits.join(blocks, "cell").select("cell", F.pmod(h, F.col("asking")).cast("int").alias("i"), F.explode(each("asked")).alias("j"), F.lit(0).alias("home"), "rep", "v", "weight", F.slice("cells", 1, 1).alias("cells"))
     residents = spread.withColumn("cell", F.col("cells")[0]).join(blocks, "cell").select("cell", F.explode(each("asking")).alias("i"), F.pmod(h, F.col("asked")).cast("int").alias("j"), F.lit(1).alias("home"), "rep", "v", "weight", "cells")
     return visitors.union(residents).groupBy("cell", "i", "j").applyInArrow(_block(threshold), "a long, b long, n long")
 

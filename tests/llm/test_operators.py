@@ -266,3 +266,16 @@ def test_common_blocks_without_anchors():
     assert line_dedup.common_blocks([7, 1, 2, 3, 8, 1, 2, 3, 9], [5, 1, 2, 3, 6], [20] * 5, 50) == [1, 2, 3]
     assert line_dedup.common_blocks([7, 1, 2, 3, 9], [1, 2, 3, 5, 1, 2, 3, 6], [20] * 8, 50) == [0, 1, 2, 4, 5, 6]
     assert line_dedup.common_blocks([1, 2, 3, 4, 5, 6, 7], [5, 6, 7, 8, 1, 2, 3, 4], [20] * 8, 50) == [0, 1, 2, 4, 5, 6, 7]
+
+
+def test_embeddings_with_few_links(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=(40, 64))
+    away -= (away * x[:40]).sum(axis=1, keepdims=True) * x[:40]
+    x[40:80] = 0.902 * x[:40] + (1 - 0.902**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+    rows = [(k, v) for k, v in enumerate(x.astype(np.float32).tolist())]
+    got = by_id(embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")), "vec_id")
+    assert [k for k in range(40) if got[k + 40].component_id != k] == []
+    assert sum(row.n_links for row in got.values()) == 80
