@@ -1,7 +1,8 @@
 """Document fingerprints: SimHash over words and runs of words, and a search by Hamming radius.
 
 Terms are words, pairs and triples of words; in short texts also runs of bytes, so that
-they have enough. Each distinct term votes on every bit of the fingerprint with its weight
+they have enough. The weight of those fades out with the length of the text, byte by byte,
+so that near copies have near votes at every length. Each distinct term votes on every bit of the fingerprint with its weight
 times one plus the whole part of the logarithm of its frequency; a bit is set if the votes for it are positive.
 
 The search puts fingerprints into permuted block tables: bits are cut into blocks, and if
@@ -24,9 +25,9 @@ from dirgauge.llm.common import read
 from dirgauge.llm.textkeys import BYTE_VALUES, mix, shingles, text_pieces, words
 
 BITS = 128
-#: Weights of words, pairs, triples; of runs of bytes in texts of up to SHORT bytes, by length of the run.
+#: Weights of words, pairs, triples; of runs of bytes, by length of the run, in full in texts of up to SHORT bytes and none from LONG bytes on.
 TERM_WEIGHTS = {1: 1, 2: 2, 3: 2}
-SHORT, BYTE_WEIGHTS = 400, {2: 1, 4: 1}
+SHORT, LONG, BYTE_WEIGHTS = 400, 1000, {2: 1, 4: 1}
 #: Low bits of a term's hash that count; the bits above hold the text's number among up to GROUP.
 HASH_BITS = 52
 GROUP = 1 << (64 - HASH_BITS)
@@ -83,9 +84,13 @@ def votes(hashes: np.ndarray, begins: np.ndarray, data: np.ndarray, offsets: np.
     sizes = np.diff(offsets)
     out = np.zeros((len(sizes), BITS), dtype=np.int64)
     _runs(out, hashes, np.repeat(np.arange(len(sizes)), np.diff(begins)), TERM_WEIGHTS, 0)
+    # whole numbers: votes of words count LONG - SHORT times, those of bytes as often as the length leaves them
+    out *= LONG - SHORT
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    short = np.repeat(sizes <= SHORT, sizes)
-    _runs(out, BYTE_VALUES[False][data[short]], owner[short], BYTE_WEIGHTS, 64)
+    short = np.repeat(sizes < LONG, sizes)
+    of_bytes = np.zeros_like(out)
+    _runs(of_bytes, BYTE_VALUES[False][data[short]], owner[short], BYTE_WEIGHTS, 64)
+    out += np.clip(LONG - sizes, 0, LONG - SHORT)[:, None] * of_bytes
     return out
 
 

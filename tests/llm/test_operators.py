@@ -279,3 +279,16 @@ def test_embeddings_with_few_links(spark):
     got = by_id(embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")), "vec_id")
     assert [k for k in range(40) if got[k + 40].component_id != k] == []
     assert sum(row.n_links for row in got.values()) == 80
+
+
+def test_simhash_across_short():
+    r = random.Random(6)
+    for size in (simhash.SHORT, simhash.LONG):
+        texts = []
+        for _ in range(30):
+            text = " ".join(r.choice(VOCAB) for _ in range(300))[: size - 2].rstrip() + "."
+            texts += [text, f"{text} another"]
+        assert all(len(a) <= size < len(b) for a, b in zip(texts[::2], texts[1::2], strict=True))
+        bits = [int.from_bytes(np.array(f, dtype=np.int64).tobytes(), "little") for f in simhash.fingerprints(pa.array(texts)).to_pylist()]
+        like = [1 - (a ^ b).bit_count() / simhash.BITS for a, b in zip(bits[::2], bits[1::2], strict=True)]
+        assert min(like) > 0.85
