@@ -155,19 +155,23 @@ def combinations(classes: int, depth: int = 8) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int) -> np.ndarray:
-    """x >= 0 with small |a x - b|: active sets after Lawson and Hanson."""
+    """x >= 0 with small |a x - b|: active sets after Lawson and Hanson. Holds no more than a and a square of its rows."""
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
-    gram, right = a.T @ a, a.T @ b
+    least = 1e-9 * max(1.0, float(np.abs(a.T @ b).max()))
     for _ in range(steps):
-        slope = right - gram @ x
+        slope = a.T @ (b - a @ x)
         slope[passive] = -np.inf
         j = int(np.argmax(slope))
-        if slope[j] <= 1e-9 * max(1.0, float(np.abs(right).max())):
+        if slope[j] <= least:
             break
         passive[j] = True
         while True:
             at = np.flatnonzero(passive)
-            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            own = a[:, at]
+            try:
+                z = np.linalg.solve(own.T @ own, own.T @ b)
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(own, b, rcond=None)[0]
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
