@@ -32,7 +32,10 @@ from dirgauge.llm.textkeys import PIECE_BYTES
 WINDOW = 2048
 CLASS = 8
 END_ID = 1
-SALTS = 32
+#: Salted parts at least, and rows of one, about.
+SALTS, PART_ROWS = 32, 250_000
+#: Streams whose sizes one task sums up.
+STREAM_BLOCK = 4096
 #: Greedily packed windows a task's stream has, about.
 STREAM_WINDOWS = 64
 CACHE = 900_000
@@ -47,7 +50,8 @@ class Encoder:
     A byte-level pre-tokenizer never joins text across a single space or line feed that
     stands between two other characters than white space: the space begins the next
     pre-token, the line feed is one by itself. So words are encoded once each and looked
-    up; a text with other white space is encoded as a whole.
+    up; a text with other white space, or with a string that is a token of its own
+    wherever it stands, is encoded as a whole.
 
     ranks and pattern name the same vocabulary for a library that is quicker at single words.
     """
@@ -57,7 +61,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that are a token of their own wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.feed = self._whole(["\n"])[0]
         self.quick = None
@@ -85,9 +90,8 @@ class Encoder:
             begin = end + 4
         return out
 
-    @staticmethod
-    def _odd(text: str) -> bool:
-        return not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text) is not None
+    def _odd(self, text: str) -> bool:
+        return not text or any(t in text for t in self.added) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. A word is looked up as it stands, one at a line's begin with the line feed before it, a text's first as a line's."""
@@ -216,6 +220,15 @@ def _running(rows: DataFrame, amount: Column, salts: int, name: str) -> DataFram
     return salted.join(parts, "_salt").withColumn(name, F.col("_before") + F.coalesce(F.sum("_amount").over(within), F.lit(0))).drop("_amount", "_salt", "_before")
 
 
+def _before(rows: DataFrame, key: str, amount: str, block: int) -> DataFrame:
+    """(key, base): the sum of amount over all rows of smaller keys, which are whole numbers from 0 on; block keys a task."""
+    blocked = rows.withColumn("_block", F.expr(f"{key} div {block}"))
+    above = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocked.groupBy("_block").agg(F.sum(amount).alias("_all")).select("_block", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_top"))
+    within = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return blocked.join(tops, "_block").select(key, (F.col("_top") + F.coalesce(F.sum(amount).over(within), F.lit(0))).alias("base"))
+
+
 def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, class_width: int = CLASS, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per piece: doc, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -230,9 +243,10 @@ def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text
     kind = kept.schema["uid"].dataType.simpleString()
     tokens = kept.mapInArrow(_tokenized(tokenizer, window, end_id, ranks, pattern), f"uid {kind}, doc_tokens long, full_crcs array<long>, left_crc long, left_ids binary")
     tokens = table(tokens.select("uid.uid", "uid.doc", "doc_tokens", "full_crcs", "left_crc", "left_ids"))
+    salts = max(SALTS, tokens.count() // PART_ROWS)
     left = F.col("doc_tokens") % window
     class_of = F.ceil(left / class_width).cast("int")
-    pieces = tokens.where(left > 0).select("uid", "doc", "doc_tokens", (F.col("doc_tokens") - left).alias("start"), left.alias("length"), "left_crc", class_of.alias("class"), F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int").alias("salt"))
+    pieces = tokens.where(left > 0).select("uid", "doc", "doc_tokens", (F.col("doc_tokens") - left).alias("start"), left.alias("length"), "left_crc", class_of.alias("class"), F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int").alias("salt"))
     parts = table(pieces.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")))
     histogram = np.zeros(-(-window // class_width), dtype=np.int64)
     for k, n in parts.groupBy("class").agg(F.sum("n")).collect():  # at most window / class_width rows
@@ -253,7 +267,7 @@ def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text
 
     whole = tokens.where(F.size("full_crcs") > 0).select("uid", "doc", "doc_tokens", "full_crcs")
     n_whole = whole.agg(F.coalesce(F.sum(F.size("full_crcs")), F.lit(0))).first()[0]
-    whole = _running(whole, F.size("full_crcs"), 2 * SALTS, "base").select("doc", "doc_tokens", "base", F.posexplode("full_crcs").alias("k", "crc"))
+    whole = _running(whole, F.size("full_crcs"), 2 * salts, "base").select("doc", "doc_tokens", "base", F.posexplode("full_crcs").alias("k", "crc"))
     out = whole.select("doc", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("base") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     along = Window.partitionBy("window").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -264,8 +278,7 @@ def pack(docs: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text
     stray = loose.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     streams = max(1, stray // (window * STREAM_WINDOWS))
     loose = loose.withColumn("stream", F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(streams)))
-    ordered = Window.orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
-    filled = loose.groupBy("stream").agg(F.ceil(F.sum("length") / window).alias("n")).select("stream", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("base"))
+    filled = _before(loose.groupBy("stream").agg(F.ceil(F.sum("length") / window).alias("n")), "stream", "n", STREAM_BLOCK)
     upto = Window.partitionBy("stream").orderBy("uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = loose.withColumn("end", F.sum("length").over(upto)).withColumn("begin", F.col("end") - F.col("length")).join(filled, "stream")
     laid = laid.join(tokens.select("uid", "left_ids"), "uid").withColumn("k", F.explode(F.sequence(F.expr(f"begin div {window}"), F.expr(f"(end - 1) div {window}"))))
