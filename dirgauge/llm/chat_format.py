@@ -1,8 +1,9 @@
 """Chat formatting: conversations as marked text with a loss mask, and back again.
 
 A visitor walks the typed content parts of each turn in order and flattens them: text
-parts are escaped, image, audio and document parts become numbered placeholders, their
-references and expanded token counts go to a list of attachments. A formatted turn is
+parts are escaped, image, audio and document parts (and those of any other type) become
+numbered placeholders, their references, captions and expanded token counts go to a list of
+attachments. A plain text is a turn of one text part. A formatted turn is
 
     <turn role="ROLE">\nTEXT\n</turn>\n
 
@@ -23,7 +24,7 @@ from dirgauge.llm.common import read
 
 #: The template's control strings, fixed values.
 OPEN, ROLE_END, CLOSE = '<turn role="', '">\n', "\n</turn>\n"
-#: Expanded token counts of one attachment part: per image tile, second of audio, document page.
+#: Expanded token counts of one unit: per image tile, second of audio, document page. A unit of another type is a token.
 PART_TOKENS = {"image": 256, "audio": 25, "document": 600}
 
 PARTS_TYPE = "array<struct<type:string,text:string,ref:string,units:bigint>>"
@@ -42,21 +43,32 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _is_text(part: Column) -> Column:
+    return F.coalesce(part["type"] == "text", F.lit(True))
+
+
 def _part_text(part: Column, number: Column) -> Column:
-    """An attachment's placeholder, or the escaped text of any other part; null text is empty."""
-    known = part["type"].isin(*PART_TOKENS)
-    return F.when(known, F.concat(F.lit("<"), part["type"], F.lit(" "), number.cast("string"), F.lit("/>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    """The escaped text of a text part (null text is empty), the placeholder of any other."""
+    placeholder = F.concat(F.lit("<"), _escape_role(part["type"]), F.lit(" "), number.cast("string"), F.lit("/>"))
+    return F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(placeholder)
+
+
+def _tokens(part: Column) -> Column:
+    each = F.element_at(F.create_map(*[F.lit(x) for pair in PART_TOKENS.items() for x in pair]), part["type"])
+    return (F.coalesce(part["units"], F.lit(1)) * F.coalesce(each, F.lit(1))).cast("long")
 
 
 def visit_parts(parts: Column) -> Column:
-    """struct(body, attachments[number, type, ref, tokens]) of a turn's parts, in order; placeholders are numbered from 1 in the turn."""
+    """struct(body, attachments) of a turn's parts, in order; placeholders are numbered from 1 in the turn.
+
+    A part without a type is text; null parts are left out, null parts columns are empty.
+    """
     parts = F.filter(F.coalesce(parts, F.array().cast(PARTS_TYPE)), lambda p: p.isNotNull())
-    numbered = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda q: q["type"].isin(*PART_TOKENS))).alias("number")))
-    tokens = lambda p: F.coalesce(p["units"], F.lit(1)) * F.element_at(F.create_map(*[F.lit(x) for pair in PART_TOKENS.items() for x in pair]), p["type"]).cast("long")
-    attached = F.filter(numbered, lambda x: x["part"]["type"].isin(*PART_TOKENS))
+    numbered = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda q: ~_is_text(q))).alias("number")))
+    attached = F.filter(numbered, lambda x: ~_is_text(x["part"]))
     return F.struct(
         F.array_join(F.transform(numbered, lambda x: _part_text(x["part"], x["number"])), "").alias("body"),
-        F.transform(attached, lambda x: F.struct(x["number"].alias("number"), x["part"]["type"].alias("type"), x["part"]["ref"].alias("ref"), tokens(x["part"]).alias("tokens"))).alias("attachments"),
+        F.transform(attached, lambda x: F.struct(x["number"].alias("number"), x["part"]["type"].alias("type"), x["part"]["ref"].alias("ref"), x["part"]["text"].alias("text"), _tokens(x["part"]).alias("tokens"))).alias("attachments"),
     )
 
 
@@ -68,10 +80,9 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     a null conversation id form one conversation; repeated rows are repeated turns. Other
     columns are ignored. loss_spans lists (start, length) in code points of formatted.
     """
-    if parts:
-        seen = visit_parts(F.col(parts))
-    else:
-        seen = F.struct(escape(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.array().cast("array<struct<number:int,type:string,ref:string,tokens:bigint>>").alias("attachments"))
+    none = F.lit(None)
+    one = F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text"), none.cast("string").alias("ref"), none.cast("bigint").alias("units"))) if not parts else None
+    seen = visit_parts(F.col(parts) if parts else one)
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), seen.alias("seen"))
     head = F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit(ROLE_END))
     rows = rows.select("conv_id", "turn", "role", F.col("seen.body").alias("body"), F.col("seen.attachments").alias("attachments"), F.concat(head, "seen.body", F.lit(CLOSE)).alias("piece"), F.length(head).alias("lead"))
@@ -84,7 +95,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         "conv_id",
         F.array_join(F.col("all.piece"), "").alias("formatted"),
         F.filter(F.col("all.span"), lambda s: s.isNotNull()).alias("loss_spans"),
-        F.flatten(F.transform("all", lambda t: F.transform(t["attachments"], lambda a: F.struct(t["k"].alias("turn_number"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))).alias("attachments"),
+        F.flatten(F.transform("all", lambda t: F.transform(t["attachments"], lambda a: F.struct(t["k"].alias("turn_number"), a["number"].alias("number"), a["type"].alias("type"), a["ref"].alias("ref"), a["text"].alias("text"), a["tokens"].alias("tokens"))))).alias("attachments"),
     ).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
