@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from dirgauge.llm.common import read, table
 from dirgauge.llm.components import connected_components
@@ -35,11 +36,26 @@ PARTNERS = 32
 CELL_ROWS, ASKING, ASKED = 64, 1024, 1024
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.asarray(rows, dtype=np.float64)
+def _unit(rows: pa.Array | pa.ChunkedArray | list) -> np.ndarray:
+    """Unit vectors of rows, which are of one length and neither zero nor hold nulls."""
+    if isinstance(rows, list):
+        x = np.asarray(rows, dtype=np.float64)
+    else:
+        chunks = rows.chunks if isinstance(rows, pa.ChunkedArray) else [rows]
+        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).astype(np.float64).reshape(len(rows), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is too large or too small
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _firsts(lists_: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, starts) of a list column: row k has values[starts[k]:starts[k + 1]]."""
+    column = lists_.combine_chunks() if isinstance(lists_, pa.ChunkedArray) else lists_
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    starts = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    return column.flatten().to_numpy(zero_copy_only=False), starts
+
+
 def _centres(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """k-means from evenly spaced rows of the sorted sample."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
@@ -68,21 +84,25 @@ def traverse(d1: np.ndarray, d2: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _ranks(queries: np.ndarray, ids: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float):
-    """For each batch of all rows, how many links of the queries lie in the cell of each rank."""
+    """For each batch of all rows, how many links of the queries lie in the cell of each rank: (rank, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = queries.shape[1] // 2
         q1, q2 = _squares(queries[:, :half], books[0]), _squares(queries[:, half:], books[1])
         for batch in batches:
-            out: list[int] = []
+            ranks, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             if batch.num_rows:
-                x = _unit(batch.column(1).to_pylist())
+                x = _unit(batch.column(1))
                 own = batch.column(0).to_numpy()
-                a, b = _squares(x[:, :half], books[0]).argmin(axis=1), _squares(x[:, half:], books[1]).argmin(axis=1)
-                for q, r in zip(*np.nonzero(queries @ x.T >= threshold), strict=True):
-                    if ids[q] != own[r]:
-                        out.append(int((np.add.outer(q1[q], q2[q]) < q1[q, a[r]] + q2[q, b[r]]).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["rank"])
+                cell = _squares(x[:, :half], books[0]).argmin(axis=1) * len(books[1]) + _squares(x[:, half:], books[1]).argmin(axis=1)
+                links = (queries @ x.T >= threshold) & (ids[:, None] != own[None, :])
+                for q in np.flatnonzero(links.any(axis=1)):
+                    cells, n = np.unique(cell[links[q]], return_counts=True)
+                    to = q1[q, cells // len(books[1])] + q2[q, cells % len(books[1])]
+                    by_second = np.sort(q2[q])
+                    ranks.append(sum(np.searchsorted(by_second, to - d) for d in q1[q]))
+                    counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ranks), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], names=["rank", "n"])
 
     return run
 
@@ -93,7 +113,7 @@ def _partner_ranks(queries: np.ndarray, books: tuple[np.ndarray, np.ndarray], th
     for q in queries:
         away = rng.normal(size=(PARTNERS, len(q)))
         away -= (away @ q)[:, None] * q
-        near = threshold * q + max(0.0, 1 - threshold**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+        near = threshold * q + max(0.0, 1 - threshold**2) ** 0.5 * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
         q1, q2 = (_squares(x, c)[0] for x, c in ((q[None, :half], books[0]), (q[None, half:], books[1])))
         p1, p2 = _squares(near[:, :half], books[0]), _squares(near[:, half:], books[1])
         a, b, sorted_q2 = q1.argmin(), q2.argmin(), np.sort(q2)
@@ -109,7 +129,7 @@ def _celled(books: tuple[np.ndarray, np.ndarray], depth: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(1).to_pylist())
+            x = _unit(batch.column(1))
             half = x.shape[1] // 2
             d1, d2 = _squares(x[:, :half], books[0]), _squares(x[:, half:], books[1])
             cells = [traverse(d1[k], d2[k], depth).tolist() for k in range(len(x))]
@@ -118,40 +138,48 @@ def _celled(books: tuple[np.ndarray, np.ndarray], depth: int):
     return run
 
 
+def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node in reach by the edges (i, j)."""
+    up = np.arange(n)
+    while True:
+        a, b = up[i], up[j]
+        if (a == b).all():
+            return up
+        least = np.minimum(a, b)
+        np.minimum.at(up, a, least)
+        np.minimum.at(up, b, least)
+        while (up[up] != up).any():
+            up = up[up]
+
+
 def _block(threshold: float):
     """Links between visitors and residents of one cell block: per vector its count, and edges of a spanning forest."""
 
     def run(key, data):
         home = data.column("home").to_numpy()
-        x = _unit(data.column("v").to_pylist())
+        x = _unit(data.column("v"))
         rep, weight = data.column("rep").to_numpy(), data.column("weight").to_numpy()
-        cells = data.column("cells").to_pylist()
+        cells, starts = _firsts(data.column("cells"))
         residents, visitors = np.flatnonzero(home == 1), np.flatnonzero(home == 0)
         counts: dict[int, int] = {}
         up = np.arange(len(rep))
-
-        def top(k):
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
         if len(residents) and len(visitors):
-            like = x[visitors] @ x[residents].T >= threshold
-            for v, r in zip(*np.nonzero(like), strict=True):
-                i, j = visitors[v], residents[r]
-                if rep[i] == rep[j]:
-                    continue
-                counts[rep[i]] = counts.get(rep[i], 0) + int(weight[j])
-                if cells[i][0] not in cells[j]:  # j doesn't visit i's own cell, so it is told here
-                    counts[rep[j]] = counts.get(rep[j], 0) + int(weight[i])
-                a, b = top(i), top(j)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-        linked = [k for k in range(len(rep)) if top(k) != k]
+            v, r = np.nonzero(x[visitors] @ x[residents].T >= threshold)
+            i, j = visitors[v], residents[r]
+            other = rep[i] != rep[j]
+            i, j = i[other], j[other]
+            # a resident that doesn't visit its visitor's own cell is told of the link here
+            row = np.repeat(np.arange(len(rep)) << 32, np.diff(starts))
+            told = ~np.isin((j << 32) + cells[starts[i]], row + cells)
+            for one, two in ((i, j), (j[told], i[told])):
+                at, back = np.unique(one, return_inverse=True)
+                for k, n in zip(at, np.bincount(back, weights=weight[two], minlength=len(at)), strict=True):
+                    counts[int(rep[k])] = counts.get(int(rep[k]), 0) + int(n)
+            up = _labels(i, j, len(rep))
+        linked = np.flatnonzero(up != np.arange(len(rep)))
         a = [*counts, *(int(rep[k]) for k in linked)]
         n = [*counts.values(), *([0] * len(linked))]
-        b = [*counts, *(int(rep[top(k)]) for k in linked)]
+        b = [*counts, *(int(rep[up[k]]) for k in linked)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
@@ -162,32 +190,42 @@ def near_vectors(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embe
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, and so do rows without an id; vectors must be of one length, others than the
-    most common one link with nothing. component_id is the smallest id in reach, itself
-    included (null without an id, and then kept). Other columns are ignored; an empty table
+    most common one link with nothing. Components are compared in double precision, whatever
+    their number type. component_id is the smallest id in reach, itself
+    included (null without an id, and then kept). Rows that repeat an id are vectors of
+    their own, linked by what they hold only. Other columns are ignored; an empty table
     gives no rows.
     """
-    rows = vectors.select(F.col(vec).cast("long").alias("id"), F.col(embedding).alias("v"))
+    kind = "float" if vectors.schema[embedding].dataType == ArrayType(FloatType()) else "double"
+    rows = vectors.select(F.col(vec).cast("long").alias("id"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     clean = F.coalesce((F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
     rows = table(rows.withColumn("ok", clean & F.col("id").isNotNull()))
     lengths = rows.where("ok").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     length = lengths[0][0] if lengths else 0
-    classes = table(rows.where(F.col("ok") & (F.size("v") == length)).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")).select("rep", "v", "weight"))
+    ruled = rows.where(F.col("ok") & (F.size("v") == length))
+    # where ids repeat, two classes may have the same smallest id: then numbers name them
+    unique = ruled.groupBy("id").count().where("count > 1").isEmpty()
+    name = F.col("least") if unique else F.monotonically_increasing_id()
+    classes = table(ruled.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")).select(name.alias("rep"), "least", "v", "weight"))
     n = classes.count()
-    if n < 2 or length < 2:
+    if n < 2:
         found = classes.select("rep", F.lit(0).cast("long").alias("n"), F.col("rep").alias("component"))
     else:
-        links = table(_links(classes, n, threshold))
+        links = table(_links(classes, n, threshold, kind))
         counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
         components = connected_components(links.select("a", "b")).withColumnRenamed("node", "rep")
         found = classes.select("rep").join(counts, "rep", "left").join(components, "rep", "left").select("rep", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("component", "rep").alias("component"))
-    of_class = classes.select("v", "rep", "weight").join(found, "rep").withColumn("ok", F.lit(True))
+    of_class = classes.select("v", "rep", "least", "weight").join(found, "rep").withColumn("ok", F.lit(True))
+    if not unique:
+        smallest = of_class.groupBy("component").agg(F.min("least").alias("smallest"))
+        of_class = of_class.join(smallest, "component").withColumn("component", F.col("smallest"))
     out = rows.join(of_class, ["v", "ok"], "left")
     component = F.coalesce("component", "id")
     n_links = F.coalesce(F.col("n") + F.col("weight") - 1, F.lit(0)).cast("long")
     return out.select(F.col("id").alias(vec), n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, n: int, threshold: float, kind: str) -> DataFrame:
     scale = 1 << 30
     part = lambda rows, seed: classes.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(scale)) <= F.lit(min(scale, scale * rows // n)))
     sample = part(FIT_ROWS, 1).select("rep", "v").toPandas().sort_values("rep")  # about FIT_ROWS rows
@@ -196,13 +234,13 @@ def _links(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     books = (_centres(x[:, :half], k), _centres(x[:, half:], k))
     probes = part(PROBE_ROWS, 2).select("rep", "v").toPandas().sort_values("rep")  # about PROBE_ROWS rows
     asked = _unit(probes["v"].tolist())
-    ranks = classes.select("rep", "v").mapInArrow(_ranks(asked, probes["rep"].to_numpy(), books, threshold), "rank long").groupBy("rank").count().toPandas().sort_values("rank")  # a row for each cell at most
+    ranks = classes.select("rep", "v").mapInArrow(_ranks(asked, probes["rep"].to_numpy(), books, threshold), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("count")).toPandas().sort_values("rank")  # a row for each cell at most
     made_up = _partner_ranks(asked, books, threshold)
     depth = max(LEAST_CELLS, int(made_up[int(np.ceil(TARGET_RECALL * len(made_up))) - 1]) + 1)
     if len(ranks):
         share = ranks["count"].cumsum() / ranks["count"].sum()
         depth = max(depth, int(ranks["rank"][share >= TARGET_RECALL].iloc[0]) + 1)
-    spread = table(classes.select("rep", "v", "weight").mapInArrow(_celled(books, min(depth, k * k)), "rep long, v array<float>, weight long, cells array<long>"))
+    spread = table(classes.select("rep", "v", "weight").mapInArrow(_celled(books, min(depth, k * k)), f"rep long, v array<{kind}>, weight long, cells array<long>"))
     sizes = spread.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("asked"))
     visits = spread.withColumn("cell", F.explode("cells"))
     asking = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("asking"))
