@@ -7,8 +7,8 @@ times one plus the whole part of the logarithm of its frequency; a bit is set if
 
 The search puts fingerprints into permuted block tables: bits are cut into blocks, and if
 two fingerprints differ in at most radius bits, at least blocks - radius blocks are equal.
-Each choice of so many blocks is a table whose key holds them; equal keys are candidates,
-and all within the radius are found.
+Each choice of so many blocks is a table whose key holds them. A stated set of queries is
+looked up in all tables; equal keys are candidates, and all within the radius are found.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dirgauge.llm.common import read
+from dirgauge.llm.common import fresh, read, table
 from dirgauge.llm.textkeys import BYTE_VALUES, mix, shingles, text_pieces, words
 
 BITS = 128
@@ -34,6 +34,8 @@ GROUP = 1 << (64 - HASH_BITS)
 #: One bit in each byte of a 64-bit value: eight counters, which hold sums of up to 255 values.
 _EVERY_BYTE, _FULL = np.uint64(0x0101010101010101), 255
 
+#: Bits that a search reaches, blocks of its tables, and which ids ask in the production query.
+RADIUS, BLOCKS, QUERY_EVERY = 3, 5, 20
 #: Documents of one part of the order by id, and parts at most.
 PART_ROWS, MAX_PARTS = 1000, 2000
 
@@ -108,21 +110,21 @@ def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
 
-def _fingerprinted(at: int):
+def _fingerprinted(at: int, name: str):
     """Adds the fingerprints of column at as the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = fingerprints(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, "print"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, name])
 
     return run
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df and the fingerprint of text under name (array<bigint>)."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], "print array<bigint>"])
-    return df.mapInArrow(_fingerprinted(df.columns.index(text)), schema).withColumnRenamed("print", name)
+    """df and the fingerprint of text under name (array<bigint>), which df must not have."""
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], f"`{name}` array<bigint>"])
+    return df.mapInArrow(_fingerprinted(df.columns.index(text), name), schema)
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -139,23 +141,33 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - distance(a, b) / F.lit(float(BITS))
 
 
-def near_fingerprints(prints: DataFrame, name: str = "fingerprint", radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(a, b, distance): each pair a < b of distinct fingerprints that differ in at most radius bits.
+def block_keys(fingerprint: Column, radius: int, blocks: int) -> Column:
+    """The keys of a fingerprint in all tables: a hash of the table's number and its blocks (as even as hexadecimal digits allow)."""
+    digits, n = as_text(fingerprint), BITS // 4
+    cuts = [round(k * n / blocks) for k in range(blocks + 1)]
+    parts = [F.substring(digits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+    return F.array(*[F.xxhash64(F.lit(t), *[parts[k] for k in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))])
 
-    Equal fingerprints count once, so copies make no pairs; join back on the fingerprint for
-    membership. Null fingerprints have no pairs. blocks must be more than radius; more blocks
-    give more tables with longer keys.
+
+def search(queries: DataFrame, prints: DataFrame, name: str = "fingerprint", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(query, found, distance): for each distinct query each other fingerprint of prints that differs in at most radius bits.
+
+    Equal fingerprints count once and aren't found for each other; join back on the
+    fingerprint for membership. Null fingerprints neither ask nor are found. blocks must be
+    more than radius and at most BITS / 4; more blocks give more tables with longer keys.
     """
-    width = -(-BITS // blocks)
-    distinct = prints.select(F.col(name).alias("f")).where("f is not null").distinct()
-    bits = F.array_join(F.transform("f", lambda x: F.lpad(F.conv(F.hex(x), 16, 2), 64, "0")), "")
-    cut = distinct.withColumn("bits", bits).withColumn("parts", F.array(*[F.substring("bits", k * width + 1, width) for k in range(blocks)]))
-    keys = [F.concat(F.lit(f"{t}:"), F.array_join(F.array(*[F.col("parts")[k] for k in chosen]), ",")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    tabled = cut.select("f", F.explode(F.array(*keys)).alias("key"))
-    full = tabled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    tabled = tabled.join(full, "key")
-    pairs = tabled.withColumnRenamed("f", "a").join(tabled.withColumnRenamed("f", "b"), "key").where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("distance", distance(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
+    if not radius < blocks <= BITS // 4:
+        raise ValueError("blocks must be more than radius, and a hexadecimal digit at least")
+
+    def tabled(df: DataFrame, side: str) -> DataFrame:
+        distinct = df.select(F.col(name)[0].alias(f"{side}0"), F.col(name)[1].alias(f"{side}1")).where(F.col(f"{side}0").isNotNull()).distinct()
+        return distinct.withColumn("key", F.explode(block_keys(F.array(f"{side}0", f"{side}1"), radius, blocks)))
+
+    query, found = F.array("q0", "q1"), F.array("f0", "f1")
+    asked, held = tabled(queries, "q"), tabled(prints, "f")
+    near = (asked.key == held.key) & (distance(query, found) <= radius) & ((F.col("q0") != F.col("f0")) | (F.col("q1") != F.col("f1")))
+    pairs = asked.join(held, near).select("q0", "q1", "f0", "f1").distinct()
+    return pairs.select(query.alias("query"), found.alias("found"), distance(query, found).alias("distance"))
 
 
 def with_next(docs: DataFrame, doc: str, columns: list[str], names: list[str], ids: DataFrame | None = None) -> DataFrame:
@@ -178,20 +190,25 @@ def with_next(docs: DataFrame, doc: str, columns: list[str], names: list[str], i
     order = sorted(tops, reverse=True)
     before = {p: order[k - 1] for k, p in enumerate(order)}
     # rows that lead a part also close the part before
+    own, lead, at = (fresh(docs, c) for c in ("_part", "_leads", "_at"))
     leads = F.lit(None).cast("int")
     if order:
-        to = F.element_at(F.create_map(*[F.lit(int(x)) for pair in before.items() for x in pair]), F.col("_part").cast("int"))
-        top = F.element_at(F.create_map(*[x for p in order for x in (F.lit(int(p)), F.lit(tops[p]).cast(docs.schema[doc].dataType))]), F.col("_part").cast("int"))
+        to = F.element_at(F.create_map(*[F.lit(int(x)) for pair in before.items() for x in pair]), F.col(own).cast("int"))
+        top = F.element_at(F.create_map(*[x for p in order for x in (F.lit(int(p)), F.lit(tops[p]).cast(docs.schema[doc].dataType))]), F.col(own).cast("int"))
         leads = F.when(F.col(doc).eqNullSafe(top), to)
-    copies = F.array_compact(F.array(F.struct(F.col("_part").cast("int").alias("part"), F.lit(False).alias("extra")), F.when(F.col("_leads").isNotNull(), F.struct(F.col("_leads").alias("part"), F.lit(True).alias("extra")))))
-    sent = docs.withColumn("_part", part).withColumn("_leads", leads).withColumn("_at", F.explode(copies)).drop("_part", "_leads")
-    along = Window.partitionBy("_at.part").orderBy("_at.extra", F.col(doc).desc_nulls_last(), F.xxhash64(*docs.columns).desc())
+    copies = F.array_compact(F.array(F.struct(F.col(own).cast("int").alias("part"), F.lit(False).alias("extra")), F.when(F.col(lead).isNotNull(), F.struct(F.col(lead).alias("part"), F.lit(True).alias("extra")))))
+    sent = docs.withColumn(own, part).withColumn(lead, leads).withColumn(at, F.explode(copies)).drop(own, lead)
+    along = Window.partitionBy(f"{at}.part").orderBy(f"{at}.extra", F.col(doc).desc_nulls_last(), F.xxhash64(*docs.columns).desc())
     sent = sent.withColumns({name: F.lead(c).over(along) for c, name in zip(columns, names, strict=True)})
-    return sent.where(~F.col("_at.extra")).drop("_at")
+    return sent.where(~F.col(f"{at}.extra")).drop(at)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
-    """Every whole text and its edited text, the last third replaced from the next document by descending id."""
+    """Every whole text and its edited text, the last third replaced from the next document by descending id.
+
+    n_near: for ids divisible by QUERY_EVERY, how many other documents have a fingerprint
+    within RADIUS bits, equal ones included, by the block tables; else null.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     printed = with_next(with_fingerprint(docs, "text", "own"), "doc_id", ["text", "own"], ["next_text", "next_print"], ids=docs)
     n = F.length("text").cast("long")
@@ -199,8 +216,12 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third))
     printed = printed.select("doc_id", n.alias("n_chars"), "own", "next_print", edited.alias("edited"))
     printed = with_fingerprint(printed, "edited", "edited_print")
-    return printed.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_print")).alias("near_edited"), likeness(F.col("own"), F.col("next_print")).alias("near_next"),
+    printed = table(printed.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), "own", "edited_print", likeness(F.col("own"), F.col("edited_print")).alias("near_edited"), likeness(F.col("own"), F.col("next_print")).alias("near_next")))
+    asks = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    held = table(printed.groupBy("own").agg(F.count(F.lit(1)).alias("times"), F.max(asks).alias("asked")))
+    others = search(held.where("asked"), held, "own").join(held.select(F.col("own").alias("found"), "times"), "found").groupBy(F.col("query").alias("own")).agg(F.sum("times").alias("others"))
+    near = held.where("asked").join(others, "own", "left").select("own", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_near"))
+    told = printed.where(asks).join(near, "own").unionByName(printed.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
+    return told.select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near",
     )
