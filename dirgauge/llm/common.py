@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,11 @@ _scope = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, one in the warehouse."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="dirgauge-")
+        folder = context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_dirgauge"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,7 +37,9 @@ def table(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def table_beside(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """As table(), but it stays when the scope that it is written in ends."""
-    return _through(df, f"{shared_dir(df.sparkSession)}/dirgauge-{uuid.uuid4().hex}", codec)
+    path = f"{shared_dir(df.sparkSession)}/dirgauge-{uuid.uuid4().hex}"
+    _written[""].append(path)
+    return _through(df, path, codec)
 
 
 def _through(df: DataFrame, path: str, codec: str) -> DataFrame:
@@ -59,10 +62,23 @@ def scope(spark: SparkSession, name: str, after: str | None = None):
 
 
 def drop_tables(spark: SparkSession, scope: str) -> None:
-    jvm = spark.sparkContext._jvm
-    for path in _written.pop(scope, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(_written.pop(scope, []), spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(paths: list[str], conf) -> None:
+    for path in paths:
+        where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    """Results may be read as long as the program runs; with it, its tables go."""
+    if SparkContext._jvm is not None and any(_written.values()):
+        try:
+            _delete([p for paths in _written.values() for p in paths], SparkContext._jvm.org.apache.hadoop.conf.Configuration())
+        except Exception as e:  # the JVM may have ended before
+            print(f"Tables of this run may be left in the shared folder: {type(e).__name__}")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

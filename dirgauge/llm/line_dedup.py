@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirgauge.llm.common import read, table
+from dirgauge.llm.common import fresh, read, table
 from dirgauge.llm.textkeys import _powers_to, lists, mix, signed, text_pieces, word_places
 
 MIN_WORDS = 50
@@ -189,11 +189,12 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     # no side has a proven size bound, so none is broadcast, and the plan is the same at every size
     sides = pairs.hint("merge").join(lines.select(F.col("at").alias("first"), F.col("keys").alias("first_keys")), "first").hint("merge").join(lines, "at")
     gone = sides.select("at", "first_keys", "keys", "words").mapInArrow(_align(min_words), "at struct<doc:bigint,key:bigint>, gone array<long>")
-    gone = table(gone.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_dg_gone")))
-    out = docs.withColumn("_dg_at", _identity(doc, text)).join(gone.withColumnRenamed("at", "_dg_at").hint("merge"), "_dg_at", "left")
+    gone = table(gone.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
+    at, cut = fresh(docs, "_dg_at"), fresh(docs, "_dg_gone")
+    out = docs.withColumn(at, _identity(doc, text)).join(gone.withColumnsRenamed({"at": at, "gone": cut}).hint("merge"), at, "left")
     parts = F.split(F.col(text), "\n")
-    rest = F.when(F.size("_dg_gone") == F.size(parts), F.lit("")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_dg_gone", i.cast("long"))), "\n"))
-    out = out.withColumns({text: F.when(F.col("_dg_gone").isNull(), F.col(text)).otherwise(rest), removed: F.coalesce(F.size("_dg_gone"), F.lit(0)).cast("long")})
+    rest = F.when(F.size(cut) == F.size(parts), F.lit("")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(cut, i.cast("long"))), "\n"))
+    out = out.withColumns({text: F.when(F.col(cut).isNull(), F.col(text)).otherwise(rest), removed: F.coalesce(F.size(cut), F.lit(0)).cast("long")})
     return out.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*docs.columns, removed])])
 
 

@@ -177,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
 
     Of more than max_labelled such labels, a share of about that many is taken by a hash of
     the id. Labels other than 0 and 1 and null ids are left out; an id with both labels
-    counts as 1 if most of its labels are. Only statistics come to the driver.
+    counts as 1 if most of its labels are; of several texts of an id, one counts (the one of
+    the least statistics). Only statistics come to the driver, one row an id.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc).isNotNull() & ~held_out(F.col(doc))).groupBy(F.col(doc).alias("_doc")).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     n = known.count()
@@ -185,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     taken = known.where(F.pmod(F.xxhash64("_doc"), F.lit(scale)) < F.lit(scale if n <= max_labelled else scale * max_labelled // n))
     found = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(taken), "_doc")  # about max_labelled rows
     stats = statistics(F.col("_text"))
-    rows = found.select(F.col("_doc"), F.col("_label"), *[c.alias(k) for k, c in stats.items()]).toPandas()
+    told = found.select("_doc", F.struct("_label", *[c.alias(k) for k, c in stats.items()]).alias("_row"))
+    rows = told.groupBy("_doc").agg(F.min("_row").alias("_row")).select("_doc", "_row.*").toPandas()
     rows = rows.sort_values(["_doc", *stats], kind="stable")
     return fit(rows[list(stats)].to_numpy(dtype=np.float64), rows["_label"].to_numpy())
 
