@@ -1,30 +1,49 @@
-"""Paths of directories from their edges, level by level."""
+"""Places of nodes in the directory tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dirgauge.functions.columns import child_path, file_replication, size_bucket
+from dirgauge.plans.store import table
+
 
 def directory_paths(dirs: DataFrame, root: int, max_depth: int = 1000) -> DataFrame:
     """dirs(id, parent_id, name) -> (id, path, depth) of all directories in reach of root.
 
-    A recursive join over directories only; files join once with their directory's path.
-    A directory with several parents has several paths. Deeper trees than max_depth raise.
+    Each round doubles how far up a directory's path is known, so a tree of depth d takes
+    log2(d) joins over directories. A directory with several parents has several paths;
+    one that root doesn't reach has none. Deeper trees than max_depth (and cycles) raise.
+    """
+    up = table(dirs.where(F.col("id") != root).select("id", F.col("parent_id").alias("top"), F.col("name").alias("below"), F.lit(1).alias("depth")))
+    reach = 1
+    while not (open_ := up.where(F.col("top") != root)).isEmpty():
+        if reach > max_depth:
+            raise ValueError(f"Directories are deeper than {max_depth} levels, or a cycle")
+        above = up.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("below").alias("over"), F.col("depth").alias("more"))
+        longer = open_.join(above, "top").select("id", F.col("next").alias("top"), F.concat("over", F.lit("/"), "below").alias("below"), (F.col("depth") + F.col("more")).alias("depth"))
+        up = table(up.where(F.col("top") == root).unionByName(longer))
+        reach *= 2
+    top = dirs.where(F.col("id") == root).select("id", F.lit("/").alias("path"), F.lit(0).alias("depth"))
+    return top.unionByName(up.select("id", F.concat(F.lit("/"), "below").alias("path"), "depth"))
+
+
+def place(inodes: DataFrame, root: int) -> DataFrame:
+    """inodes with parent_path, path, effective_replication and bucket, sorted by path.
+
+    inodes have a row for each parent of a node, with its size. Nodes that root doesn't
+    reach are left out.
     """
-    spark = dirs.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE reached(id, path, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
-          SELECT id, '/' AS path, 0 AS depth FROM {{dirs}} WHERE id = {int(root)}
-          UNION ALL
-          SELECT d.id, CASE WHEN r.path = '/' THEN concat('/', d.name) ELSE concat(r.path, '/', d.name) END, r.depth + 1
-          FROM reached r JOIN {{dirs}} d ON d.parent_id = r.id WHERE d.id <> {int(root)})
-        SELECT id, path, depth FROM reached
-        """,
-        dirs=dirs,
-    )
+    paths = directory_paths(inodes.where("type = 'DIRECTORY'").select("id", "parent_id", "name"), root)
+    placed = inodes.join(paths.select(F.col("id").alias("parent_id"), F.col("path").alias("parent_path")), "parent_id", "left")
+    is_root = F.col("id") == root
+    placed = placed.where(is_root | F.col("parent_path").isNotNull()).withColumns({
+        "path": F.when(is_root, F.lit("/")).otherwise(child_path(F.col("parent_path"), F.col("name"))),
+        "effective_replication": file_replication(F.col("replication"), F.col("ec_policy_id")),
+        "bucket": F.when(F.col("type") == "FILE", size_bucket(F.col("size"))),
+    })
+    return placed.repartitionByRange("path").sortWithinPartitions("path")
 
 
 def in_subtree(path, start: str):

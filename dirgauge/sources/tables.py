@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirgauge.functions.columns import block_consumed, child_path, file_replication, size_bucket
+from dirgauge.functions.columns import block_consumed
+from dirgauge.plans import store
+from dirgauge.plans.tree import place
 
 ROOT = 16385
 
@@ -50,21 +52,24 @@ def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").selectExpr("400000000 + l_orderkey as id", "cast(l_quantity * l_quantity * 4096 as bigint) as num_bytes")
 
 
+TABLES = ["region", "nation", "customer", "supplier", "orders", "lineitem"]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """inodes with parent_path, path, size, consumed, n_blocks and bucket."""
-    from dirgauge.plans.tree import directory_paths
+    """inodes with parent_path, path, size, consumed, n_blocks, effective_replication and bucket.
+
+    Written once for each state of the tables in an application, sorted by path; reports
+    read that, and only the columns and row groups they need.
+    """
+    state = store.state(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
+    return store.once(spark, ("nodes", sf_dir, state), lambda: derive(spark, sf_dir))
+
 
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = inodes(spark, sf_dir)
-    paths = directory_paths(every.where("type = 'DIRECTORY'").select("id", "parent_id", "name"), ROOT)
     policy = every.where("type = 'FILE'").select("id", "replication", "ec_policy_id")
     blocks = block_sizes(spark, sf_dir).join(policy, "id")
     sums = blocks.groupBy("id").agg(F.sum("num_bytes").alias("size"), F.sum(block_consumed(F.col("num_bytes"), F.col("replication"), F.col("ec_policy_id"))).alias("consumed"), F.count(F.lit(1)).alias("n_blocks"))
-    placed = every.join(paths.select(F.col("id").alias("parent_id"), F.col("path").alias("parent_path")), "parent_id", "left").join(sums, "id", "left")
     zero = F.lit(0).cast("long")
-    is_root = F.col("id") == ROOT
-    placed = placed.withColumns({
-        "path": F.when(is_root, F.lit("/")).otherwise(child_path(F.col("parent_path"), F.col("name"))),
-        "size": F.coalesce("size", zero), "consumed": F.coalesce("consumed", zero), "n_blocks": F.coalesce("n_blocks", zero),
-        "effective_replication": file_replication(F.col("replication"), F.col("ec_policy_id")),
-    })
-    return placed.withColumn("bucket", F.when(F.col("type") == "FILE", size_bucket(F.col("size"))))
+    sized = every.join(sums, "id", "left").withColumns({c: F.coalesce(c, zero) for c in ("size", "consumed", "n_blocks")})
+    return place(sized, ROOT)
