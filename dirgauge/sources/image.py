@@ -8,13 +8,19 @@ format was tested on images written here only, as no other is at hand.
     spark.dataSource.register(ImageSource)
     spark.read.format("dirgauge_image").option("section", "INODE").load(path)
 
-Sections: STRING_TABLE, INODE_REFERENCE, INODE, INODE_DIR. Without a codec the inode section
-is read in parts cut at record boundaries; a compressed section is one stream.
+Sections: STRING_TABLE, INODE_REFERENCE, INODE, INODE_DIR, and INODE_ID, which decodes no
+more of a node than its id. Without a codec the inode section is read in parts: near each
+cut, a place from which many records follow each other is taken for a record's begin, and
+the part before must end exactly there, or the read fails; so the driver reads a little at
+each cut only. A compressed section is one stream, unpacked piece by piece; load() writes
+what it reads as Parquet once. Snapshots, cache pools, tokens and files under construction
+aren't read. Files are opened with Arrow's stores.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,8 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from dirgauge.functions.columns import consumed_size, file_size, unpack_permission
+from dirgauge.plans import store
+from dirgauge.plans.tree import place
+
 MAGIC = b"HDFSIMG1"
 PART_BYTES = 32 * 1024 * 1024
+#: Records that must follow each other at a cut, and bytes of a stream that are held at once, about.
+CHAIN, PIECE = 64, 1 << 20
+#: The root's id, a fixed value of the format.
+ROOT = 16385
 KINDS = {1: "FILE", 2: "DIRECTORY", 3: "SYMLINK"}
 #: Access-control entries are packed in 32 bits, fixed layout: permission 3, type 2, scope 1 bits, then the name's id in 24.
 ACL_TYPES, ACL_SCOPES = ["USER", "GROUP", "MASK", "OTHER"], ["ACCESS", "DEFAULT"]
@@ -34,6 +48,7 @@ SCHEMAS = {
     "STRING_TABLE": "id bigint, str string",
     "INODE_REFERENCE": "ref_idx int, inode_id bigint",
     "INODE": "id bigint, type string, name string, permission bigint, mtime_ms bigint, atime_ms bigint, replication int, preferred_block_size bigint, blocks array<struct<block_id:bigint,gen_stamp:bigint,num_bytes:bigint>>, storage_policy_id int, ec_policy_id int, ns_quota bigint, ds_quota bigint, target string, acl array<struct<scope:string,type:string,name_id:int,perm:int>>",
+    "INODE_ID": "id bigint",
     "INODE_DIR": "parent_id bigint, children array<bigint>, ref_children array<int>",
 }
 
@@ -91,11 +106,45 @@ def numbers(values: list) -> list[int]:
     return out
 
 
-def delimited(data: bytes, at: int = 0) -> Iterator[bytes]:
-    while at < len(data):
-        size, at = varint(data, at)
-        yield data[at : at + size]
-        at += size
+def delimited(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a stream of pieces; one that is cut off raises."""
+    data, at = b"", 0
+    for piece in pieces:
+        data, at = data[at:] + piece, 0
+        while at < len(data):
+            try:
+                size, begin = varint(data, at)
+            except IndexError:
+                break
+            if begin + size > len(data):
+                break
+            yield data[begin : begin + size]
+            at = begin + size
+    if at < len(data):
+        raise ValueError("The last record is cut off")
+
+
+def _begins(data: bytes, at: int) -> int | None:
+    """Where the record after the inode that begins at at begins, or None if there is none; IndexError where data ends too early."""
+    size, begin = varint(data, at)
+    if not 5 <= size < 1 << 31 or data[begin] != 0x08 or data[begin + 1] not in KINDS or data[begin + 2] != 0x10:
+        return None
+    # a name or the type's own part follows the id; in a block, which begins like an inode, a number does
+    return begin + size if data[varint(data, begin + 3)[1]] in (0x1A, 0x1A + 8 * data[begin + 1]) else None
+
+
+def first_record(data: bytes) -> int | None:
+    """The first place in data from which CHAIN inodes follow each other."""
+    for at in range(len(data)):
+        place, met = at, 0
+        try:
+            while met < CHAIN and place is not None and place < len(data):
+                place, met = _begins(data, place), met + 1
+        except (IndexError, ValueError):
+            continue
+        if place is not None and met == CHAIN:
+            return at
+    return None
 
 
 def _open(path: str):
@@ -113,7 +162,7 @@ def summary(path: str) -> tuple[str, dict[str, tuple[int, int]]]:
         if size < 12 or f.read_at(8, 0) != MAGIC:
             raise ValueError(f"{path} is not a checkpoint image")
         length = struct.unpack(">I", f.read_at(4, size - 4))[0]
-        top = fields(next(delimited(f.read_at(length, size - 4 - length))))
+        top = fields(next(delimited(iter([f.read_at(length, size - 4 - length)]))))
     sections = {}
     for raw in top.get(4, []):
         s = fields(raw)
@@ -121,19 +170,48 @@ def summary(path: str) -> tuple[str, dict[str, tuple[int, int]]]:
     return top.get(3, [b""])[0].decode(), sections
 
 
-def _unpacked(raw: bytes, codec: str) -> bytes:
+class _Range(io.RawIOBase):
+    """A range of an open file as a stream."""
+
+    def __init__(self, file, offset: int, length: int) -> None:
+        self.file, self.at, self.end = file, offset, offset + length
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.file.read_at(min(len(into), self.end - self.at), self.at) if self.at < self.end else b""
+        into[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+def _pieces(stream, codec: str) -> Iterator[bytes]:
+    """The unpacked bytes of a stream, some at a time."""
     name = codec.rsplit(".", 1)[-1]
-    if not codec:
-        return raw
     if name in ("DefaultCodec", "DeflateCodec"):
-        return zlib.decompress(raw)
+        unpack = zlib.decompressobj()
+        while piece := stream.read(PIECE):
+            while piece:
+                yield unpack.decompress(piece, PIECE)
+                piece = unpack.unconsumed_tail
+        yield unpack.flush()
+        return
     if name == "GzipCodec":
-        return gzip.decompress(raw)
-    if name == "ZStandardCodec":
+        stream = gzip.GzipFile(fileobj=stream)
+    elif name == "ZStandardCodec":
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(raw).read()
-    raise ValueError(f"Codec {codec} isn't supported")
+        stream = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
+    elif codec:
+        raise ValueError(f"Codec {codec} isn't supported")
+    while piece := stream.read(PIECE):
+        yield piece
+
+
+def _id(raw: bytes) -> tuple[int]:
+    """A node's id alone: type and id are its first two fields."""
+    return (varint(raw, 3)[0],) if raw[:1] == b"\x08" and raw[2:3] == b"\x10" else (fields(raw)[2][0],)
 
 
 def _inode(raw: bytes) -> tuple:
@@ -164,32 +242,32 @@ class ImageReader(DataSourceReader):
         self.codec, sections = summary(path)
         if section not in SCHEMAS:
             raise ValueError(f"{section} isn't one of {', '.join(SCHEMAS)}")
-        if section not in sections:
+        own = "INODE" if section == "INODE_ID" else section
+        if own not in sections:
             raise ValueError(f"No section {section} among {', '.join(sections)}")
-        self.offset, self.length = sections[section]
+        self.offset, self.length = sections[own]
 
     def partitions(self) -> list[Part]:
-        if self.codec or self.section != "INODE" or self.length <= PART_BYTES:
+        if self.codec or self.section not in ("INODE", "INODE_ID") or self.length <= PART_BYTES:
             return [Part(self.offset, self.length, True)]
-        parts, begin, at, end = [], self.offset, self.offset, self.offset + self.length
+        end, cuts = self.offset + self.length, [self.offset]
         with _open(self.path) as f:
-            window, base = b"", 0
-            while at < end:
-                if at - base + 10 > len(window):
-                    base, window = at, f.read_at(min(1 << 20, end - at), at)
-                size, after = varint(window, at - base)
-                at = base + after + size
-                if at - begin >= PART_BYTES or at >= end:
-                    parts.append(Part(begin, at - begin, begin == self.offset))
-                    begin = at
-                if at - base >= len(window):
-                    window = b""
-        return parts
+            for near in range(self.offset + PART_BYTES, end, PART_BYTES):
+                width, found = PIECE, None
+                while near > cuts[-1] and (found := first_record(f.read_at(min(width, end - near), near))) is None and near + width < end:
+                    width *= 4
+                if found is not None:
+                    cuts.append(near + found)
+        return [Part(a, b - a, a == self.offset) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        with _open(self.path) as f:
-            data = _unpacked(f.read_at(part.length, part.offset), self.codec)
-        records = delimited(data)
+        try:
+            with _open(self.path) as f:
+                yield from self._rows(delimited(_pieces(io.BufferedReader(_Range(f, part.offset, part.length), PIECE), self.codec)), part.head)
+        except Exception as e:
+            raise ValueError(f"Section {self.section} of {self.path} can't be read: {e}") from e
+
+    def _rows(self, records: Iterator[bytes], head: bool) -> Iterator[tuple]:
         if self.section == "STRING_TABLE":
             next(records, None)
             for m in map(fields, records):
@@ -201,9 +279,9 @@ class ImageReader(DataSourceReader):
             for m in map(fields, records):
                 yield m[1][0], numbers(m.get(2, [])), numbers(m.get(3, []))
         else:
-            if part.head:
+            if head:
                 next(records, None)
-            yield from map(_inode, records)
+            yield from map(_inode if self.section == "INODE" else _id, records)
 
 
 class ImageSource(DataSource):
@@ -230,3 +308,38 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         refs = dirs.select("parent_id", F.size("children").alias("n"), F.posexplode("ref_children").alias("k", "ref_idx")).join(part("INODE_REFERENCE"), "ref_idx")
         edges = edges.unionByName(refs.select("parent_id", F.col("inode_id").alias("child_id"), (F.col("n") + F.col("k")).alias("pos"), F.lit(True).alias("is_ref")))
     return {"inodes": part("INODE"), "edges": edges, "strings": part("STRING_TABLE")}
+
+
+def named(inodes: DataFrame, strings: DataFrame) -> DataFrame:
+    """inodes with owner, grp and mode from their packed permission, and names instead of numbers in acl; unknown numbers give null."""
+    out = inodes.withColumns({k: c for k, c in unpack_permission(F.col("permission")).items()})
+    for number, name in (("user_id", "owner"), ("group_id", "grp")):
+        out = out.join(strings.select(F.col("id").alias(number), F.col("str").alias(name)), number, "left").drop(number)
+    entries = inodes.where(F.size("acl") > 0).select("id", F.posexplode("acl").alias("pos", "e"))
+    entries = entries.join(strings.select(F.col("id").alias("_name"), "str"), F.col("e.name_id") == F.col("_name"), "left")
+    entry = F.struct("e.scope", "e.type", F.col("str").alias("name"), "e.perm")
+    lists = entries.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("acl")).select("id", F.col("acl.entry").alias("acl"))
+    return out.drop("acl").join(lists, "id", "left")
+
+
+def sized(inodes: DataFrame) -> DataFrame:
+    """inodes with size, consumed and n_blocks; 0 for other nodes than files."""
+    blocks = F.coalesce("blocks", F.array().cast(inodes.schema["blocks"].dataType))
+    return inodes.withColumns({"size": file_size(blocks), "consumed": consumed_size(blocks, F.col("replication"), F.col("ec_policy_id")), "n_blocks": F.size(blocks).cast("long")})
+
+
+def nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of an image as reports take them, written once for each state of the file in an application.
+
+    A node that is a reference child as well has a row for each parent. All columns of
+    inodes are there; acl has names.
+    """
+
+    def derive() -> DataFrame:
+        image = load(spark, path)
+        inodes = store.table(image["inodes"])
+        parents = image["edges"].select(F.col("child_id").alias("id"), "parent_id", "pos", "is_ref")
+        rows = sized(named(inodes, image["strings"])).join(parents, "id", "left")
+        return place(rows.withColumn("parent_id", F.coalesce("parent_id", F.lit(0))), ROOT)
+
+    return store.once(spark, ("image", path, store.state(spark, [path])), derive)
