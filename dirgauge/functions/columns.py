@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,6 +91,23 @@ def size_bucket(size: Column) -> Column:
     return F.when(size == 0, 0).when(size < MIB, 1).when(size < 2 * MIB, 2).otherwise(F.floor(F.ln(size / (2 * MIB)) / F.ln(F.lit(2.0)) + 1e-12).cast("int") + 3).cast("int")
 
 
+@dataclass(frozen=True)
+class BucketModel:
+    """How a histogram cuts sizes: the bucket of a size (0 for empty files), and a bucket's exclusive upper border."""
+
+    bucket: Callable[[Column], Column]
+    border: Callable[[Column], Column]
+
+
+def powers(base: int, first: int) -> BucketModel:
+    """Buckets that end at first, first * base, first * base^2, ...; empty files have a bucket of their own."""
+    log = lambda size: F.floor(F.ln(size / F.lit(float(first))) / F.ln(F.lit(float(base))) + 1e-12)
+    return BucketModel(
+        lambda size: F.when(size == 0, 0).when(size < first, 1).otherwise(log(size) + 2).cast("int"),
+        lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise((F.lit(first) * F.pow(F.lit(float(base)), k - 1)).cast("long")),
+    )
+
+
 def bucket_border(bucket: Column) -> Column:
     """Exclusive upper bound of a bucket, 0 for the empty files'."""
     return F.when(bucket == 0, F.lit(0).cast("long")).otherwise(F.lit(MIB).cast("long") * F.pow(F.lit(2.0), bucket - 1).cast("long"))
@@ -111,6 +130,20 @@ def iec_parse(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).cast("long") * factor)
 
 
+def size_labels(sizes: Column) -> Column:
+    """IEC labels of an array of sizes."""
+    return F.transform(sizes, iec_format)
+
+
+def text_lengths(texts: Column) -> Column:
+    return F.transform(texts, F.length)
+
+
+def elementwise_max(a: Column, b: Column) -> Column:
+    """The larger of two arrays at each place; where one has ended, the other's."""
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+
+
 def digit_count(n: Column) -> Column:
     return F.length(n.cast("string"))
 
@@ -123,6 +156,11 @@ def type_char(kind: Column) -> Column:
     return F.when(kind == "FILE", "-").when(kind == "DIRECTORY", "d").otherwise("l")
 
 
+def type_letter(kind: Column) -> Column:
+    """As in JSON: f, d or l."""
+    return F.when(kind == "FILE", "f").when(kind == "DIRECTORY", "d").otherwise("l")
+
+
 def unsigned(n: Column) -> Column:
     """A signed 64-bit number read as an unsigned one."""
     return F.when(n < 0, n.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(n.cast("decimal(20,0)"))
@@ -133,6 +171,23 @@ def padded(values: Column, n: int) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(0).cast("long"), n)), 1, n)
 
 
+def parse_size(text: str) -> int:
+    """Bytes of a text such as 3MiB or 2048, as iec_parse(); ValueError where there is no number."""
+    found = re.fullmatch(r"(\d+)\s*(\w*)", text.strip(), re.ASCII)
+    if not found:
+        raise ValueError(f"A size is a number with an optional unit such as MiB, not {text!r}")
+    units = [u.upper() for u in UNITS[:6]]
+    return int(found[1]) * (1024 ** units.index(found[2].upper()) if found[2].upper() in units else 1)
+
+
+def format_size(n: int) -> str:
+    """As iec_format(), for one number."""
+    unit = 0
+    while unit < 6 and n >= 1024 ** (unit + 1):
+        unit += 1
+    return f"{(2 * n + 1024**unit) // (2 * 1024**unit)} {UNITS[unit]}"
+
+
 def parse_age(text: str) -> int:
     """Milliseconds of an age such as 3y, 30d or 12h; an empty text is 0."""
     if not text:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dirgauge.functions.columns import ancestors_or_self, symbolic_mode, type_char
+from dirgauge.functions.columns import INITIAL_BUCKETS, BucketModel, ancestors_or_self, symbolic_mode, type_char
 from dirgauge.plans.tree import in_subtree
 
 SMALL = 2 * 1048576
@@ -35,9 +35,25 @@ def summary_grouping_sets(nodes: DataFrame) -> DataFrame:
     return out.select(level.alias("level"), F.coalesce("grp", "owner", F.lit("/")).alias("name"), "files", "dirs", "links", "blocks", "size", "consumed")
 
 
-def histogram(nodes: DataFrame, by: str | None = None) -> DataFrame:
-    """Files per size bucket; overall dense from 0 to the highest filled."""
-    counts = nodes.where("type = 'FILE'").groupBy(*([by] if by else []), "bucket").agg(F.count(F.lit(1)).alias("files"))
+def statistics(nodes: DataFrame) -> DataFrame:
+    """level (overall, group, user), name, totals and buckets, an array of counts that is as long for all: all levels in one pass.
+
+    Null owners and groups are levels of their own, named by an empty text.
+    """
+    top = nodes.agg(F.max("bucket")).first()[0]
+    length = max(INITIAL_BUCKETS, (top or 0) + 1)
+    count = lambda k: F.sum(F.when(F.col("bucket") == k, 1).otherwise(0)).cast("long")
+    keyed = nodes.withColumns({"owner": F.coalesce("owner", F.lit("")), "grp": F.coalesce("grp", F.lit(""))})
+    out = keyed.groupingSets([[], ["grp"], ["owner"]], "grp", "owner").agg(F.grouping("grp").alias("_g"), F.grouping("owner").alias("_o"), *_totals(), F.array(*map(count, range(length))).alias("buckets"))
+    level = F.when(F.col("_g") == 0, "group").when(F.col("_o") == 0, "user").otherwise("overall")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select(level.alias("level"), F.coalesce("grp", "owner", F.lit("/")).alias("name"), *map(zero, ("files", "dirs", "links", "blocks", "size", "consumed")), "buckets")
+
+
+def histogram(nodes: DataFrame, by: str | None = None, model: BucketModel | None = None) -> DataFrame:
+    """Files per size bucket; overall dense from 0 to the highest filled. model: other buckets than the nodes' own."""
+    files = nodes.where("type = 'FILE'")
+    counts = (files if model is None else files.withColumn("bucket", model.bucket(F.col("size")))).groupBy(*([by] if by else []), "bucket").agg(F.count(F.lit(1)).alias("files"))
     if by:
         return counts
     dense = counts.agg(F.max("bucket").alias("top")).select(F.explode(F.sequence(F.lit(0), "top")).alias("bucket"))
@@ -70,14 +86,14 @@ def user_usage(nodes: DataFrame, user: str, before_ms: int | None = None) -> Dat
 
 
 def paths(nodes: DataFrame, starts: tuple[str, ...] = ("/",), user: str | None = None) -> DataFrame:
-    """Nodes under any of starts, once each; user: a pattern that the whole owner matches."""
+    """Nodes under any of starts, once each (a path is there once, and starts that overlap are one condition); user: a pattern that the whole owner matches."""
     seen = F.lit(False)
     for s in starts:
         seen = seen | in_subtree(F.col("path"), s)
     out = nodes.where(seen)
     if user:
         out = out.where(F.col("owner").rlike(rf"\A(?:{user})\z"))
-    return out.dropDuplicates(["path"])
+    return out
 
 
 def path_rows(nodes: DataFrame) -> DataFrame:
