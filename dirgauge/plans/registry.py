@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dirgauge.functions import columns as C
+from dirgauge.operators import lookups as L
 from dirgauge.operators import reports as R
+from dirgauge.render import text as T
+from dirgauge.sources import image as I
 from dirgauge.sources import tables as S
 
 QUERIES: dict = {}
@@ -69,12 +72,10 @@ _add("multi_dir_summary", lambda n: R.summary(R.subtree(n, "/ASIA")).withColumn(
 
 
 def _csv_rows(n):
-    files = n.where("type = 'FILE'")
     names = [(F.lit("Overall"), F.lit("/")), (F.lit("Group"), F.col("grp")), (F.lit("User"), F.col("owner"))]
     # the three levels of a row in one pass over the nodes
     levels = n.withColumn("at", F.explode(F.array(*[F.struct(a.alias("level"), b.alias("name")) for a, b in names])))
     buckets = [F.sum(F.when((F.col("type") == "FILE") & (F.col("bucket") == k), 1).otherwise(0)).cast("long").alias(f"bucket_{k}") for k in range(C.INITIAL_BUCKETS)]
-    del files
     return levels.groupBy("at.level", "at.name").agg(F.sum((F.col("type") == "DIRECTORY").cast("int")).cast("long").alias("dirs"), F.sum((F.col("type") == "SYMLINK").cast("int")).cast("long").alias("links"), F.sum((F.col("type") == "FILE").cast("int")).cast("long").alias("files"), F.sum("size").cast("long").alias("size"), F.sum("n_blocks").cast("long").alias("blocks"), *buckets)
 
 
@@ -85,7 +86,10 @@ _add("size_histogram_by_user", lambda n: R.histogram(n, "owner"), "SELECT owner,
 _add("size_histogram_by_group", lambda n: R.histogram(n, "grp"), "SELECT grp, bucket, count(*) AS files FROM nodes WHERE type = 'FILE' GROUP BY ALL")
 _add("histogram_stats", lambda n: R.histogram(n).agg(F.max("bucket").alias("top_bucket"), F.max("files").alias("most_files"), F.count(F.lit(1)).alias("n_buckets")), "SELECT max(bucket) AS top_bucket, max(c)::BIGINT AS most_files, max(bucket)::BIGINT + 1 AS n_buckets FROM (SELECT bucket, count(*) AS c FROM nodes WHERE type = 'FILE' GROUP BY bucket)")
 _add("bucket_borders", lambda n: R.histogram(n).select("bucket", C.bucket_border(F.col("bucket")).alias("border")), "SELECT k::INT AS bucket, CASE WHEN k = 0 THEN 0 ELSE 1048576 * (1::BIGINT << (k - 1)::INT) END::BIGINT AS border FROM range(0, (SELECT max(bucket) + 1 FROM nodes)) t(k)")
-_add("custom_bucket_model", lambda n: n.where("type = 'FILE'").groupBy(F.length(F.col("size").cast("string")).alias("digits")).agg(F.count(F.lit(1)).alias("files")), "SELECT length(size::VARCHAR)::INT AS digits, count(*) AS files FROM nodes WHERE type = 'FILE' GROUP BY 1")
+#: Buckets by decimal digits.
+DIGITS = C.BucketModel(C.digit_count, lambda k: F.pow(F.lit(10), k).cast("long"))
+_add("custom_bucket_model", lambda n: R.histogram(n, model=DIGITS).where("files > 0").select(F.col("bucket").alias("digits"), "files"), "SELECT length(size::VARCHAR)::INT AS digits, count(*) AS files FROM nodes WHERE type = 'FILE' GROUP BY 1")
+_add("bucket_model_of_powers", lambda n: R.histogram(n, model=C.powers(10, 1000)).withColumn("border", C.powers(10, 1000).border(F.col("bucket"))), "SELECT k::INT AS bucket, count(b) AS files, CASE WHEN k = 0 THEN 0 ELSE (1000 * 10 ** (k - 1)) END::BIGINT AS border FROM range(0, (SELECT max(CASE WHEN size = 0 THEN 0 ELSE greatest(1, length(size::VARCHAR) - 2) END) + 1 FROM nodes WHERE type = 'FILE')) t(k) LEFT JOIN (SELECT CASE WHEN size = 0 THEN 0 ELSE greatest(1, length(size::VARCHAR) - 2) END AS b FROM nodes WHERE type = 'FILE') ON b = k GROUP BY k")
 
 _add("smallfiles_overall", lambda n: R.small_files(n).agg(F.count(F.lit(1)).alias("small_files")), "SELECT count(*) AS small_files FROM small")
 _by_dir = lambda n: R.small_files(n).groupBy("parent_path").agg(F.count(F.lit(1)).alias("small_files"))
@@ -111,9 +115,7 @@ _add("smallfiles_top_paths", lambda n: R.roll_up(_by_dir(n), "small_files").orde
 
 
 def _hotspots(n):
-    by = _by_user_dir(n)
-    first = by.groupBy("owner").agg(F.sum("small_files").alias("all")).orderBy(F.desc("all"), "owner").limit(10).select("owner")
-    return R.top_per_key(R.roll_up(by.join(first, "owner"), "small_files", ("owner",)), "owner", "small_files", 10)
+    return T.hotspots(_by_user_dir(n)).drop("all")
 
 
 _add("smallfiles_hotspots", _hotspots, "SELECT owner, path, small_files, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY small_files DESC, path) AS rank FROM (SELECT owner, up AS path, count(*) AS small_files FROM small JOIN anc ON dir = parent_path WHERE owner IN (SELECT owner FROM small GROUP BY 1 ORDER BY count(*) DESC, owner LIMIT 10) GROUP BY 1, 2)) WHERE rank <= 10")
@@ -195,3 +197,49 @@ _add("consumed_size", lambda n: n.where("type = 'FILE'").select("id", "consumed"
 _add("iec_format", lambda n: n.where("type = 'FILE'").select("id", C.iec_format(F.col("size")).alias("label")), "SELECT id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN CAST(floor(size / 1024.0 + 0.5) AS BIGINT) || ' KiB' WHEN size < 1073741824 THEN CAST(floor(size / 1048576.0 + 0.5) AS BIGINT) || ' MiB' ELSE CAST(floor(size / 1073741824.0 + 0.5) AS BIGINT) || ' GiB' END AS label FROM nodes WHERE type = 'FILE'")
 _add("iec_parse", lambda n: n.where("type = 'FILE'").select("id", C.iec_parse(F.concat((F.col("id") % 1000).cast("string"), F.lit(" mib"))).alias("bytes")), "SELECT id, (id % 1000) * 1048576 AS bytes FROM nodes WHERE type = 'FILE'")
 _add("digit_count", lambda n: n.select("id", C.digit_count(F.col("size")).alias("digits")), "SELECT id, length(size::VARCHAR)::INT AS digits FROM nodes")
+
+_add("mebibytes", lambda n: n.where("type = 'FILE'").select("id", C.mebibytes(F.col("size")).alias("mb")), "SELECT id, size // 1048576 AS mb FROM nodes WHERE type = 'FILE'")
+_add("type_letters", lambda n: n.select("id", C.type_char(F.col("type")).alias("kind"), C.type_letter(F.col("type")).alias("letter")), "SELECT id, CASE type WHEN 'FILE' THEN '-' WHEN 'DIRECTORY' THEN 'd' ELSE 'l' END AS kind, CASE type WHEN 'FILE' THEN 'f' WHEN 'DIRECTORY' THEN 'd' ELSE 'l' END AS letter FROM nodes")
+_add("size_labels", lambda n: n.groupBy("owner").agg(F.array(F.max("size"), F.sum("size")).alias("sizes")).select("owner", F.array_join(C.size_labels(F.col("sizes")), ", ").alias("labels")), "SELECT owner, " + " || ', ' || ".join(f"CASE WHEN {x} < 1024 THEN {x} || ' B' WHEN {x} < 1048576 THEN CAST(floor({x} / 1024.0 + 0.5) AS BIGINT) || ' KiB' WHEN {x} < 1073741824 THEN CAST(floor({x} / 1048576.0 + 0.5) AS BIGINT) || ' MiB' WHEN {x} < 1099511627776 THEN CAST(floor({x} / 1073741824.0 + 0.5) AS BIGINT) || ' GiB' ELSE CAST(floor({x} / 1099511627776.0 + 0.5) AS BIGINT) || ' TiB' END" for x in ("max(size)", "sum(size)::BIGINT")) + " AS labels FROM nodes GROUP BY owner")
+_add("padded_histogram", lambda n: R.statistics(n).where("level = 'group'").select("name", F.array_join(C.padded(F.col("buckets"), 20), ",").alias("counts")), "SELECT grp AS name, " + " || ',' || ".join(f"count(*) FILTER (bucket = {k})" for k in range(20)) + " AS counts FROM nodes GROUP BY grp")
+_add("column_widths", lambda n: R.statistics(n).agg(*[F.max(F.element_at(C.elementwise_max(C.text_lengths(F.transform("buckets", lambda b: b.cast("string"))), F.array_repeat(F.lit(2), 18)), k + 1)).alias(f"width_{k}") for k in range(4)]), "SELECT " + ", ".join(f"max(greatest(2, length(c{k}::VARCHAR)))::INT AS width_{k}" for k in range(4)) + " FROM (SELECT " + ", ".join(f"count(*) FILTER (bucket = {k}) AS c{k}" for k in range(4)) + " FROM nodes GROUP BY GROUPING SETS ((), (grp), (owner)))")
+_add("child_ids", lambda n: n.where("path <> '/'").groupBy(F.col("parent_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("children")), "SELECT parent_id AS id, string_agg(id::VARCHAR, ',' ORDER BY id) AS children FROM nodes WHERE path <> '/' GROUP BY 1")
+_add("dirs_without_dirs", lambda n: _dirs(n).join(n.where("type = 'DIRECTORY' and path <> '/'").select(F.col("parent_id").alias("id")), "id", "left_anti"), "SELECT id, path FROM nodes WHERE type = 'DIRECTORY' AND id NOT IN (SELECT parent_id FROM nodes WHERE type = 'DIRECTORY')")
+_add("visited", lambda n: L.visit(n, on_file=lambda f: f.select("path", F.col("size").alias("n")), on_directory=lambda d: d.select("path", F.lit(0).cast("long").alias("n")), on_symlink=lambda k: k.select("path", F.length("name").cast("long").alias("n"))), "SELECT path, CASE type WHEN 'FILE' THEN size WHEN 'DIRECTORY' THEN 0 ELSE length(name) END AS n FROM nodes")
+_add("sticky_directories", lambda n: n.where("type = 'DIRECTORY'").select("id", C.symbolic_mode(F.when(F.col("id") % 2 == 0, F.lit(0o1777)).otherwise(0o1754)).alias("permission")), "SELECT id, CASE WHEN id % 2 = 0 THEN 'rwxrwxrwt' ELSE 'rwxr-xr-T' END AS permission FROM nodes WHERE type = 'DIRECTORY'")
+_add("unsigned_quotas", lambda n: n.where("type = 'DIRECTORY'").select("id", C.unsigned(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).cast("long")).cast("string").alias("quota")), "SELECT id, CASE WHEN id % 2 = 0 THEN '18446744073709551615' ELSE id::VARCHAR END AS quota FROM nodes WHERE type = 'DIRECTORY'")
+
+
+def _inode_permission(n):
+    """Owners and groups through a dictionary of numbers, packed with the mode and resolved again, as an image holds them."""
+    names = n.select(F.explode(F.array("owner", "grp")).alias("str")).distinct()
+    strings = names.select((F.conv(F.substring(F.md5("str"), 1, 6), 16, 10).cast("long")).alias("id"), "str")
+    number = lambda c: strings.select(F.col("str").alias(c), F.col("id").alias(f"{c}_number"))
+    packed = n.join(number("owner"), "owner").join(number("grp"), "grp").withColumn("permission", F.shiftleft("owner_number", 40) + F.shiftleft("grp_number", 16) + F.col("mode"))
+    acl = F.array().cast("array<struct<scope:string,type:string,name_id:int,perm:int>>")
+    return I.named(packed.select("id", "permission", acl.alias("acl")), strings).select("id", "owner", "grp", "mode")
+
+
+_add("inode_permission", _inode_permission, "SELECT id, owner, grp, mode FROM nodes")
+
+
+def _inode_json(n):
+    is_file, is_dir = F.col("type") == "FILE", F.col("type") == "DIRECTORY"
+    return n.withColumns({
+        "preferred_block_size": F.when(is_file, F.lit(134217728).cast("long")), "storage_policy_id": F.when(is_file, F.lit(7)),
+        "ns_quota": F.when(is_dir, F.lit(-1).cast("long")), "ds_quota": F.when(is_dir, F.lit(-1).cast("long")), "target": F.when(~is_file & ~is_dir, F.lit("/")),
+    }).select(T.inode_json_columns().alias("inode"))
+
+
+_head = "'{\"id\":' || id || ',\"name\":\"' || name || '\",\"type\":\"' || lower(type) || '\",\"permission\":\"' || owner || ':' || grp || ':' || " + OCTAL
+_times = "'\"mtime\":' || mtime_ms || ',\"atime\":' || mtime_ms"
+_add("inode_json", _inode_json, f"SELECT {_head} || '\",' || CASE type WHEN 'FILE' THEN {_times} || ',\"replication\":' || replication || ',\"preferredBlockSize\":134217728,\"storagePolicyID\":7,\"erasureCodingPolicyID\":' || coalesce(ec, 0) WHEN 'DIRECTORY' THEN '\"nsQuota\":-1,\"dsQuota\":-1,' || {_times} ELSE '\"target\":\"/\",' || {_times} END || '}}' AS inode FROM nodes")
+
+
+def _resolved(n):
+    return L.resolve_arguments(n, [*_ARGS, "//ASIA/", "relative"]).select(F.col("nth").alias("k"), "arg", "id", "path")
+
+
+_add("inode_arguments", _resolved, "SELECT k, arg, id, path FROM (VALUES (0, '16385', '16385'), (1, '/ASIA', '/ASIA'), (2, '/nowhere', '/nowhere'), (3, '400000001', '400000001'), (4, '7', '7'), (5, '//ASIA/', '/ASIA'), (6, 'relative', 'relative')) a(k, arg, plain) LEFT JOIN nodes n ON n.path = plain OR n.id::VARCHAR = plain")
+_add("smallfiles_direct_by_user", lambda n: T.direct_hotspots(_by_user_dir(n), "[12].*", 3), "SELECT owner, path, small_files, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY small_files DESC, path) AS rank FROM (SELECT owner, parent_path AS path, count(*) AS small_files FROM small WHERE regexp_full_match(owner, '[12].*') GROUP BY 1, 2)) WHERE rank <= 3")
+_add("statistics", lambda n: R.statistics(n).withColumn("buckets", F.array_join("buckets", ",")), "SELECT CASE WHEN grouping(grp) = 0 THEN 'group' WHEN grouping(owner) = 0 THEN 'user' ELSE 'overall' END AS level, coalesce(grp, owner, '/') AS name, " + TOTALS + ", " + " || ',' || ".join(f"count(*) FILTER (bucket = {k})" for k in range(18)) + " AS buckets FROM nodes GROUP BY GROUPING SETS ((), (grp), (owner))")

@@ -43,7 +43,8 @@ def place(inodes: DataFrame, root: int) -> DataFrame:
         "effective_replication": file_replication(F.col("replication"), F.col("ec_policy_id")),
         "bucket": F.when(F.col("type") == "FILE", size_bucket(F.col("size"))),
     })
-    return placed.repartitionByRange("path").sortWithinPartitions("path")
+    # written first: finding the ranges reads paths only, and joins run once
+    return table(placed).repartitionByRange("path").sortWithinPartitions("path")
 
 
 def in_subtree(path, start: str):

@@ -11,6 +11,8 @@ from dirgauge.plans import store
 from dirgauge.plans.tree import place
 
 ROOT = 16385
+#: How a file's number sets its replication and its policy of erasure coding.
+_REPLICATION, _EC = "cast(1 + {} % 3 as int)", "case {} % 10 when 0 then 1 when 5 then 2 end"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def inodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         node(_t(spark, sf_dir, "region"), "100000000 + r_regionkey", ROOT, "DIRECTORY", "r_name"),
         node(_t(spark, sf_dir, "nation"), "200000000 + n_nationkey", "100000000 + n_regionkey", "DIRECTORY", "n_name"),
         node(_t(spark, sf_dir, "customer"), "300000000 + c_custkey", "200000000 + c_nationkey", "DIRECTORY", "c_name", grp="c_mktsegment"),
-        node(orders, "400000000 + o_orderkey", "300000000 + o_custkey", "FILE", "concat('order_', o_orderkey)", "o_orderpriority", "c_mktsegment", 0o644, "cast(1 + o_orderkey % 3 as int)", "case o_orderkey % 10 when 0 then 1 when 5 then 2 end", "unix_millis(cast(o_orderdate as timestamp))"),
+        node(orders, "400000000 + o_orderkey", "300000000 + o_custkey", "FILE", "concat('order_', o_orderkey)", "o_orderpriority", "c_mktsegment", 0o644, _REPLICATION.format("o_orderkey"), _EC.format("o_orderkey"), "unix_millis(cast(o_orderdate as timestamp))"),
         node(_t(spark, sf_dir, "supplier"), "500000000 + s_suppkey", "200000000 + s_nationkey", "SYMLINK", "s_name", mode=0o777),
     ]
     out = parts[0]
@@ -48,8 +50,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, num_bytes), a row for each block of a file."""
-    return _t(spark, sf_dir, "lineitem").selectExpr("400000000 + l_orderkey as id", "cast(l_quantity * l_quantity * 4096 as bigint) as num_bytes")
+    """(id, num_bytes, replication, ec_policy_id), a row for each block of a file."""
+    return _t(spark, sf_dir, "lineitem").selectExpr("400000000 + l_orderkey as id", "cast(l_quantity * l_quantity * 4096 as bigint) as num_bytes", _REPLICATION.format("l_orderkey") + " as replication", _EC.format("l_orderkey") + " as ec_policy_id")
 
 
 TABLES = ["region", "nation", "customer", "supplier", "orders", "lineitem"]
@@ -67,9 +69,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = inodes(spark, sf_dir)
-    policy = every.where("type = 'FILE'").select("id", "replication", "ec_policy_id")
-    blocks = block_sizes(spark, sf_dir).join(policy, "id")
-    sums = blocks.groupBy("id").agg(F.sum("num_bytes").alias("size"), F.sum(block_consumed(F.col("num_bytes"), F.col("replication"), F.col("ec_policy_id"))).alias("consumed"), F.count(F.lit(1)).alias("n_blocks"))
+    sums = block_sizes(spark, sf_dir).groupBy("id").agg(F.sum("num_bytes").alias("size"), F.sum(block_consumed(F.col("num_bytes"), F.col("replication"), F.col("ec_policy_id"))).alias("consumed"), F.count(F.lit(1)).alias("n_blocks"))
     zero = F.lit(0).cast("long")
     sized = every.join(sums, "id", "left").withColumns({c: F.coalesce(c, zero) for c in ("size", "consumed", "n_blocks")})
     return place(sized, ROOT)
