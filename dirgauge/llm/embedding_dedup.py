@@ -255,3 +255,19 @@ def _links(classes: DataFrame, n: int, threshold: float, kind: str) -> DataFrame
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """All embeddings at a cosine of 0.9."""
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE clean AS (
+  SELECT vec_id, CASE WHEN embedding IS NOT NULL AND len(embedding) > 0
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS v FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id, vec_id <= coalesce(l.b, vec_id) AS kept
+FROM clean LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least l ON l.a = vec_id
+"""

@@ -202,3 +202,24 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, without blocks of 50 words or more that an earlier one has."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "n_removed", F.length("text").cast("long").alias("n_chars"))
+
+
+ORACLE_SQL = r"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT doc_id, lines, list_transform(lines, lambda t: regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM cut),
+known AS (SELECT doc_id, lines, list_transform(w, lambda x: array_to_string(x, ' ')) AS norm, list_transform(w, lambda x: len(x)) AS n FROM worded),
+places AS (SELECT doc_id, unnest(n) AS own, generate_subscripts(n, 1) AS i FROM known),
+counted AS (SELECT doc_id, i, sum(own) OVER along AS upto, sum(own) OVER along - own AS before FROM places WINDOW along AS (PARTITION BY doc_id ORDER BY i)),
+ends AS (SELECT doc_id, upto, min(i) AS i FROM counted GROUP BY 1, 2),
+begins AS (SELECT doc_id, before, max(i) AS i FROM counted GROUP BY 1, 2),
+windows AS (
+  SELECT a.doc_id, a.i AS lo, b.i AS hi FROM (SELECT doc_id, i, before + 50 AS want FROM counted) a ASOF JOIN ends b ON a.doc_id = b.doc_id AND a.want <= b.upto
+  UNION SELECT a.doc_id, b.i, a.i FROM (SELECT doc_id, i, upto - 50 AS want FROM counted) a ASOF JOIN begins b ON a.doc_id = b.doc_id AND a.want >= b.before),
+runs AS (SELECT doc_id, lo, hi, array_to_string(norm[lo:hi], chr(10)) AS run FROM windows JOIN known USING (doc_id)),
+firsts AS (SELECT run, min(doc_id) AS first FROM runs GROUP BY run),
+covered AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM runs JOIN firsts USING (run) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(i) AS cut_at FROM covered GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS rest FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM known SEMI JOIN gone USING (doc_id)) ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id),
+done AS (SELECT d.doc_id, CASE WHEN cut_at IS NULL THEN text ELSE coalesce(rest, '') END AS text, coalesce(len(cut_at), 0)::BIGINT AS n_removed FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id))
+SELECT doc_id, text, n_removed, length(text) AS n_chars FROM done
+"""

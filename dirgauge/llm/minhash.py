@@ -287,3 +287,21 @@ def _cross(labelled: DataFrame, mixed: DataFrame, reps: DataFrame, items: DataFr
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
     """All documents, by three words, at 85 in 100."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM split),
+runs AS (SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER follow, lead(x, 2) OVER follow) AS run FROM placed WINDOW follow AS (PARTITION BY doc_id ORDER BY i)),
+items AS (SELECT DISTINCT doc_id, run FROM runs WHERE i <= greatest(1, n - 2)),
+sizes AS (SELECT doc_id, count(*) AS n FROM items GROUP BY 1),
+shared AS (SELECT doc_id, hash(run) AS run FROM items WHERE run IN (SELECT run FROM items GROUP BY run HAVING count(*) > 1)),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shared a JOIN shared b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met m JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m.n >= 85 * (x.n + y.n - m.n)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id, d.doc_id <= coalesce(b, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON a = d.doc_id
+"""

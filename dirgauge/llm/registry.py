@@ -24,6 +24,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op3_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op4_minhash": minhash.ORACLE_SQL,
+        "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op8_chat_format": chat_format.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }
