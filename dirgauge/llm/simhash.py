@@ -36,8 +36,8 @@ _EVERY_BYTE, _FULL = np.uint64(0x0101010101010101), 255
 
 #: Bits that a search reaches, blocks of its tables, and which ids ask in the production query.
 RADIUS, BLOCKS, QUERY_EVERY = 3, 5, 20
-#: Documents of one part of the order by id, and parts at most.
-PART_ROWS, MAX_PARTS = 1000, 2000
+#: Documents of one part of the order by id, parts at most, and how many bounds of parts form a group.
+PART_ROWS, MAX_PARTS, FAN = 1000, 65_536, 256
 
 
 def _ones(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -170,34 +170,45 @@ def search(queries: DataFrame, prints: DataFrame, name: str = "fingerprint", rad
     return pairs.select(query.alias("query"), found.alias("found"), distance(query, found).alias("distance"))
 
 
+def _numbers(values: list, kind: str = "bigint") -> Column:
+    """values as one array that is folded to a constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _part(id_: Column, bounds: list[int]) -> Column:
+    """How many of bounds (ascending) are below the id, found in two steps: among every FAN_th, then within their group; 0 for null."""
+    lasts = [bounds[min(k + FAN, len(bounds)) - 1] for k in range(0, len(bounds), FAN)]
+    below = lambda array: F.size(F.filter(array, lambda b: b < id_))
+    group = below(_numbers(lasts))
+    within = F.when(group < len(lasts), below(F.slice(_numbers(bounds), group * FAN + 1, F.lit(FAN)))).otherwise(0)
+    return F.when(id_.isNull(), 0).otherwise(F.least(F.lit(len(bounds) - 1), group * FAN + within)).cast("int")
+
+
 def with_next(docs: DataFrame, doc: str, columns: list[str], names: list[str], ids: DataFrame | None = None) -> DataFrame:
-    """docs with the columns of the next row in descending order of doc under names; the last row's next is the first.
+    """docs with the columns of the next row in descending order of doc (whole numbers) under names; the last row's next is the first.
 
     ids has the doc column of docs, for counts and quantiles, where that is cheaper to read than docs.
 
     Nulls come last; rows of equal ids are ordered by a hash of all columns. The order is cut
     into parts of about PART_ROWS rows by quantiles of the ids (MAX_PARTS at most, later
-    larger ones); the first row of each part is sent to the part before as well.
+    larger ones). A quantile is an id that is there and leads its part, so rows of that id
+    are known without a search, and are sent to the part before as well.
     """
-    ids = docs.select(doc) if ids is None else ids.select(doc)
-    n = ids.count()
-    parts = int(min(MAX_PARTS, max(1, n // PART_ROWS)))
-    shares = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(ids.agg(F.percentile_approx(doc, F.array(*map(F.lit, shares)), 10 * MAX_PARTS)).first()[0] or ())) if shares else []
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(doc))), F.lit(0)) if bounds else F.lit(0)
-    part = F.when(F.col(doc).isNull(), 0).otherwise(part)
-    tops = dict(ids.groupBy(part.alias("part")).agg(F.max(doc)).collect())  # a row for each part
-    order = sorted(tops, reverse=True)
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-    # rows that lead a part also close the part before
-    own, lead, at = (fresh(docs, c) for c in ("_part", "_leads", "_at"))
-    leads = F.lit(None).cast("int")
-    if order:
-        to = F.element_at(F.create_map(*[F.lit(int(x)) for pair in before.items() for x in pair]), F.col(own).cast("int"))
-        top = F.element_at(F.create_map(*[x for p in order for x in (F.lit(int(p)), F.lit(tops[p]).cast(docs.schema[doc].dataType))]), F.col(own).cast("int"))
-        leads = F.when(F.col(doc).eqNullSafe(top), to)
-    copies = F.array_compact(F.array(F.struct(F.col(own).cast("int").alias("part"), F.lit(False).alias("extra")), F.when(F.col(lead).isNotNull(), F.struct(F.col(lead).alias("part"), F.lit(True).alias("extra")))))
-    sent = docs.withColumn(own, part).withColumn(lead, leads).withColumn(at, F.explode(copies)).drop(own, lead)
+    ids = docs.select(F.col(doc).cast("long").alias("id")) if ids is None else ids.select(F.col(doc).cast("long").alias("id"))
+    counted = ids.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).first()
+    parts = int(min(MAX_PARTS, max(1, counted.n // PART_ROWS)))
+    shares = _numbers([k / parts for k in range(1, parts)], "double")
+    cuts = ids.agg(F.percentile_approx("id", shares, max(10_000, 10 * parts))).first()[0] if parts > 1 else None
+    own, lead, at, id_ = *(fresh(docs, c) for c in ("_part", "_leads", "_at")), F.col(doc).cast("long")
+    if counted.top is None:  # no id at all: one part, which its first row closes
+        part, leads = F.lit(0), F.when(F.lit(True), 0)
+    else:
+        bounds = sorted({*(cuts or ()), counted.top})
+        part = _part(id_, bounds)
+        # the first row of all closes the last part, which is number 0
+        leads = F.when(F.get(_numbers(bounds), F.col(own)) == id_, (F.col(own) + 1) % len(bounds))
+    copies = F.array_compact(F.array(F.struct(F.col(own).alias("part"), F.lit(False).alias("extra")), F.when(F.col(lead).isNotNull(), F.struct(F.col(lead).alias("part"), F.lit(True).alias("extra")))))
+    sent = docs.withColumn(own, part).withColumn(lead, leads.cast("int")).withColumn(at, F.explode(copies)).drop(own, lead)
     along = Window.partitionBy(f"{at}.part").orderBy(f"{at}.extra", F.col(doc).desc_nulls_last(), F.xxhash64(*docs.columns).desc())
     sent = sent.withColumns({name: F.lead(c).over(along) for c, name in zip(columns, names, strict=True)})
     return sent.where(~F.col(f"{at}.extra")).drop(at)
