@@ -38,6 +38,8 @@ MAGIC = b"HDFSIMG1"
 PART_BYTES = 32 * 1024 * 1024
 #: Records that must follow each other at a cut, and bytes of a stream that are held at once, about.
 CHAIN, PIECE = 64, 1 << 20
+#: Spaces of numbers of names, fixed values of the format.
+SPACES = {"USER": 1, "GROUP": 2}
 #: The root's id, a fixed value of the format.
 ROOT = 16385
 KINDS = {1: "FILE", 2: "DIRECTORY", 3: "SYMLINK"}
@@ -45,7 +47,7 @@ KINDS = {1: "FILE", 2: "DIRECTORY", 3: "SYMLINK"}
 ACL_TYPES, ACL_SCOPES = ["USER", "GROUP", "MASK", "OTHER"], ["ACCESS", "DEFAULT"]
 
 SCHEMAS = {
-    "STRING_TABLE": "id bigint, str string",
+    "STRING_TABLE": "id bigint, str string, space int",
     "INODE_REFERENCE": "ref_idx int, inode_id bigint",
     "INODE": "id bigint, type string, name string, permission bigint, mtime_ms bigint, atime_ms bigint, replication int, preferred_block_size bigint, blocks array<struct<block_id:bigint,gen_stamp:bigint,num_bytes:bigint>>, storage_policy_id int, ec_policy_id int, ns_quota bigint, ds_quota bigint, target string, acl array<struct<scope:string,type:string,name_id:int,perm:int>>",
     "INODE_ID": "id bigint",
@@ -269,9 +271,11 @@ class ImageReader(DataSourceReader):
 
     def _rows(self, records: Iterator[bytes], head: bool) -> Iterator[tuple]:
         if self.section == "STRING_TABLE":
-            next(records, None)
+            head_fields = fields(next(records, b""))
+            shift = 32 - head_fields.get(2, [0])[0]
             for m in map(fields, records):
-                yield m[1][0], m[2][0].decode("utf-8", "replace")
+                id_ = m[1][0] & 0xFFFFFFFF
+                yield (id_ & ((1 << shift) - 1), m[2][0].decode("utf-8", "replace"), id_ >> shift if shift < 32 else None)
         elif self.section == "INODE_REFERENCE":
             for k, m in enumerate(map(fields, records)):
                 yield k, m[1][0]
@@ -310,13 +314,24 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"inodes": part("INODE"), "edges": edges, "strings": part("STRING_TABLE")}
 
 
+def _in_space(strings: DataFrame, space) -> DataFrame:
+    """Entries of one kind of name: those of its space, or all in tables where all kinds share one (space is null)."""
+    return strings.where(F.col("space").isNull() | (F.col("space") == space))
+
+
 def named(inodes: DataFrame, strings: DataFrame) -> DataFrame:
-    """inodes with owner, grp and mode from their packed permission, and names instead of numbers in acl; unknown numbers give null."""
+    """inodes with owner, grp and mode from their packed permission, and names instead of numbers in acl; unknown numbers give null.
+
+    Newer images number users and groups apart: high bits of a string's number tell its space.
+    """
     out = inodes.withColumns({k: c for k, c in unpack_permission(F.col("permission")).items()})
     for number, name in (("user_id", "owner"), ("group_id", "grp")):
-        out = out.join(strings.select(F.col("id").alias(number), F.col("str").alias(name)), number, "left").drop(number)
+        own = _in_space(strings, SPACES["USER" if name == "owner" else "GROUP"])
+        out = out.join(own.select(F.col("id").alias(number), F.col("str").alias(name)), number, "left").drop(number)
     entries = inodes.where(F.size("acl") > 0).select("id", F.posexplode("acl").alias("pos", "e"))
-    entries = entries.join(strings.select(F.col("id").alias("_name"), "str"), F.col("e.name_id") == F.col("_name"), "left")
+    names = strings.select(F.col("id").alias("_name"), "str", "space")
+    space = F.when(F.col("e.type") == "USER", SPACES["USER"]).when(F.col("e.type") == "GROUP", SPACES["GROUP"]).otherwise(0)
+    entries = entries.join(names, (F.col("e.name_id") == F.col("_name")) & (F.col("space").isNull() | (F.col("space") == space)), "left")
     entry = F.struct("e.scope", "e.type", F.col("str").alias("name"), "e.perm")
     lists = entries.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("acl")).select("id", F.col("acl.entry").alias("acl"))
     return out.drop("acl").join(lists, "id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dirgauge.llm import chat_format, embedding_dedup, minhash, mixing, packing, quality, simhash, url_filter
+from dirgauge.llm import chat_format, embedding_dedup, minhash, mixing, packing, quality, simhash, token_counts, url_filter
 
 rng = random.Random(11)
 VOCAB = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)]
@@ -244,3 +244,38 @@ def test_near_duplicate_stage_keeps_one_of_each(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "4", "None"]
+
+
+def test_tries_by_level_equal_the_walk():
+    v = token_counts.Vocabulary(P.path("piece_bpe_32k.model"))
+    some = {"", "a", "a\0", "é" * 5, "\U0001f600x", "▁", "x" * 62, "x" * 63, "x" * 64, "y" * 3000, *VOCAB, *(a + b for a, b in zip(VOCAB, VOCAB[7:])), *(w.title() + "," for w in VOCAB), "the", "The", "there", "interesting", "международный"}
+    level, walk = token_counts.TrieCounter(v), token_counts.TrieCounter(v)
+    level.add(some)
+    walk._walk(sorted(some))
+    assert level.counts == walk.counts and len(level.counts) == len(some)
+    level.add(set())
+    assert len(level.counts) == len(some)
+
+
+@pytest.mark.parametrize("rows, part", [(700, 7), (700, 1), (5, 1000), (300, 100)])
+def test_next_row_over_many_parts(spark, monkeypatch, rows, part):
+    monkeypatch.setattr(simhash, "PART_ROWS", part)
+    monkeypatch.setattr(simhash, "FAN", 4)
+    ids = rng.sample(range(-(10**12), 10**12), rows)
+    after = {r.doc_id: r.nxt for r in simhash.with_next(spark.createDataFrame([(k,) for k in ids], "doc_id bigint"), "doc_id", ["doc_id"], ["nxt"]).collect()}
+    ordered = sorted(ids, reverse=True)
+    assert after == dict(zip(ordered, [*ordered[1:], ordered[0]]))
+
+
+def test_next_row_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 2)
+    chain = lambda rows: [(r.doc_id, r.text, r.nxt) for r in simhash.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", ["text"], ["nxt"]).collect()]
+    for rows in ([(5, "a"), (5, "b"), (4, "c"), (3, "d"), (3, "e"), (None, "f"), (None, "g"), (1, "h")], [(None, "a"), (None, "b"), (None, "c")], [(7, "a")]):
+        got = chain(rows)
+        follow = {t: n for _, t, n in got}
+        seen, at = [], max(got, key=lambda r: (r[0] is not None, r[0] or 0))[1]
+        for _ in rows:
+            seen.append(at)
+            at = follow[at]
+        assert len(got) == len(rows) and sorted(seen) == sorted(t for _, t in rows)
+    assert chain([]) == []

@@ -33,6 +33,20 @@ def test_round_trip(spark, tmp_path, codec, monkeypatch):
     assert sum(p.length for p in reader.partitions()) == reader.length
 
 
+def test_names_in_spaces_of_their_own(spark, tmp_path):
+    space = {"global": 0, "user": 1 << 30, "group": 2 << 30}
+    strings = [(space["user"] | 1, "ann"), (space["group"] | 1, "staff"), (space["user"] | 2, "bob"), (space["group"] | 2, "ops"), (7, "plain")]
+    acl = (2 << 8 | 0 << 3 | 6, 2 << 8 | 1 << 3 | 4, 7 << 8 | 3 << 3 | 4)
+    w.write(path := tmp_path / "image", {
+        "STRING_TABLE": w.rec(w.num(1, len(strings)) + w.num(2, 2)) + b"".join(w.rec(w.num(1, k) + w.raw(2, v.encode())) for k, v in strings),
+        "INODE": w.rec(w.num(1, 16386) + w.num(2, 2)) + w.inode(2, 16385, "", w.dir_body(1 << 40 | 1 << 16 | 0o755)) + w.inode(1, 16386, "f", w.file_body(2 << 40 | 2 << 16 | 0o644, [], acl=acl)),
+        "INODE_DIR": w.rec(w.num(1, 16385) + w.raw(2, w.var(16386))),
+    })
+    rows = {r.path: r for r in image.nodes(spark, str(path)).collect()}
+    assert (rows["/"].owner, rows["/"].grp, rows["/f"].owner, rows["/f"].grp) == ("ann", "staff", "bob", "ops")
+    assert [e.name for e in rows["/f"].acl] == ["bob", "ops", "plain"]
+
+
 def test_nodes_with_references_and_entries(spark, tmp_path):
     strings = {1: "mm", 2: "gg", 5: "acluser"}
     inodes = [
