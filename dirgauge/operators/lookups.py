@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from dirgauge.functions.columns import permission_text
-
 STICKY = 0o1000
 
 
@@ -74,7 +72,7 @@ class Namespace:
     def permission(self, node: int | str) -> str:
         """user:group:octal mode of a node by id or path."""
         row = self.by_path(node) if isinstance(node, str) else self.by_id(node)
-        return self.nodes.sparkSession.range(1).select(permission_text(F.lit(row.owner), F.lit(row.grp), F.lit(row["mode"]))).first()[0]
+        return f"{row.owner or ''}:{row.grp or ''}:{row['mode']:04o}"
 
     def acl_entries(self, path: str) -> list[Row]:
         """Entries (scope, type, name, perm) of a file or directory; none for a link."""
@@ -104,7 +102,8 @@ def resolve_arguments(nodes: DataFrame, args: list[str]) -> DataFrame:
     A number is an id, anything else a path; of a node with several paths the first counts.
     """
     spark = nodes.sparkSession
-    kinds = [(k, a, int(a) if a.isdigit() else None, None if a.isdigit() else (plain(a) if a.startswith("/") else a)) for k, a in enumerate(args)]
+    number = lambda a: a.isascii() and a.isdigit() and int(a) < 1 << 63
+    kinds = [(k, a, int(a) if number(a) else None, None if number(a) else (plain(a) if a.startswith("/") else a)) for k, a in enumerate(args)]
     asked = spark.createDataFrame(kinds, "nth int, arg string, _id bigint, _path string")
     wanted = nodes.where(F.col("id").isin([k[2] for k in kinds if k[2] is not None]) | F.col("path").isin([k[3] for k in kinds if k[3] is not None]))
     first = wanted.withColumn("_first", F.min("path").over(Window.partitionBy("id"))).where((F.col("path") == F.col("_first")) | F.col("path").isin([k[3] for k in kinds if k[3] is not None]))

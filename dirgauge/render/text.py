@@ -145,8 +145,8 @@ def _full(user: str | None) -> Column:
 
 
 def _counts(nodes: DataFrame, limit: int) -> DataFrame:
-    """Small files by owner and directory."""
-    return R.small_files(nodes, limit).groupBy("owner", "parent_path").agg(F.count(F.lit(1)).alias("small_files"))
+    """Small files by owner (empty where it isn't known) and directory."""
+    return R.small_files(nodes, limit).withColumn("owner", F.coalesce("owner", F.lit(""))).groupBy("owner", "parent_path").agg(F.count(F.lit(1)).alias("small_files"))
 
 
 def _sums(by: DataFrame, user: str | None) -> tuple[int, int]:
@@ -321,6 +321,7 @@ def paths_text(found: DataFrame, starts: list[str], out: TextIO, user: str | Non
     files, dirs, links = _type_counts(found)
     counts = f"{counted(files, 'file', 'files')}, {counted(dirs, 'directory', 'directories')} and {counted(links, 'symlink', 'symlinks')}"
     out.write(f"\n{title}\n{'-' * len(title)}\n\n{counts}\n\n")
+    found = found.withColumns({c: F.coalesce(c, F.lit("")) for c in ("owner", "grp")})
     widths = found.agg(F.max(F.length("owner")).alias("owner"), F.max(F.length("grp")).alias("grp")).first()
     for r in found.select("path", "owner", "grp", C.type_char(F.col("type")).alias("kind"), C.symbolic_mode(F.col("mode")).alias("mode")).orderBy("path").toLocalIterator():
         out.write(f"{r.kind}{r.mode} {r.owner:<{widths.owner}} {r.grp:<{widths.grp}} {r.path}\n")

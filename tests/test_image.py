@@ -1,8 +1,11 @@
+import io
+
 import image_writer as w
 import pytest
 from pyspark.sql import functions as F
 
 from dirgauge.operators.lookups import Namespace
+from dirgauge.render import text
 from dirgauge.sources import image, synthetic
 
 
@@ -66,6 +69,12 @@ def test_nodes_with_references_and_entries(spark, tmp_path):
     assert space.child_ids(16385) == [16386, 16388, 16387] and space.child_ids(16388) == [] and space.n_children(16386) == 1
     assert space.has_children("/a") and not space.has_children(16388) and space.permission("/a") == "mm:gg:1755"
     assert space.acl_status("/a")["sticky"] and [tuple(e) for e in space.acl_status("/a")["entries"]] == [("DEFAULT", "USER", "acluser", 7)]
+    assert space.permission("/f") == "acluser::0644"
+    for write, more in ((text.paths_text, {}), (text.small_files_text, {"limit": 1 << 40})):
+        write(nodes, ["/"], out := io.StringIO(), **more)
+        assert "/a" in out.getvalue()
+    text.summary_text(nodes, "/", out := io.StringIO())
+    assert "By group:            2 |" in out.getvalue()
     assert [tuple(e) for e in space.acl_entries("/a/f")] == [("ACCESS", "USER", "acluser", 6), ("ACCESS", "OTHER", None, 4)] and space.acl_entries("/l") == []
 
 
