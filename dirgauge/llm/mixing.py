@@ -168,9 +168,9 @@ def apply_copies(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", source:
     """The rows of docs as often as the mix takes them.
 
     Rows of equal doc, source and text share their copies evenly; what is left over goes to
-    one of them. Columns of any other name may be there.
+    one of them. Columns of any other name may be there; an empty table stays empty.
     """
-    key, times, uid, n = (fresh(docs, f"_dg_{c}") for c in ("hash", "copies", "uid", "n"))
+    key, times, uid, n, one = (fresh(docs, f"_dg_{c}") for c in ("hash", "copies", "uid", "n", "one"))
     often = table(mixed.groupBy(F.col("row_hash").alias(key)).agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias(n)).where(F.col(times) > 0))
     keyed = docs.withColumn(key, row_hash(doc, source, text)).join(often, key)
     every = lambda df: df.withColumn(n, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -178,8 +178,8 @@ def apply_copies(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", source:
         return every(keyed)
     # written, so that the row that takes what is left over is the same wherever it is read
     equal = table(keyed.where(F.col(n) > 1).withColumn(uid, F.monotonically_increasing_id()))
-    chosen = equal.groupBy(key).agg(F.min(uid).alias(uid)).withColumn("_dg_chosen", F.lit(True))
-    own = F.floor(F.col(times) / F.col(n)) + F.when(F.col("_dg_chosen"), F.col(times) % F.col(n)).otherwise(0)
+    chosen = equal.groupBy(key).agg(F.min(uid).alias(uid)).withColumn(one, F.lit(True))
+    own = F.floor(F.col(times) / F.col(n)) + F.when(F.col(one), F.col(times) % F.col(n)).otherwise(0)
     shared = equal.join(chosen, [key, uid], "left").withColumn(times, own).where(F.col(times) > 0)
     return every(keyed.where(F.col(n) == 1)).unionByName(every(shared))
 

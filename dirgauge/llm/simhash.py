@@ -122,7 +122,11 @@ def _fingerprinted(at: int, name: str):
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df and the fingerprint of text under name (array<bigint>), which df must not have."""
+    """df and the fingerprint of text under name (array<bigint>), which df must not have.
+
+    Null and empty texts have no bit set; equal texts have equal fingerprints in whatever
+    rows they are; an empty table stays empty.
+    """
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], f"`{name}` array<bigint>"])
     return df.mapInArrow(_fingerprinted(df.columns.index(text), name), schema)
 
@@ -192,7 +196,8 @@ def with_next(docs: DataFrame, doc: str, columns: list[str], names: list[str], i
     Nulls come last; rows of equal ids are ordered by a hash of all columns. The order is cut
     into parts of about PART_ROWS rows by quantiles of the ids (MAX_PARTS at most, later
     larger ones). A quantile is an id that is there and leads its part, so rows of that id
-    are known without a search, and are sent to the part before as well.
+    are known without a search, and are sent to the part before as well. A single row's next
+    is itself; an empty table stays empty. Columns of any other name may be there.
     """
     ids = docs.select(F.col(doc).cast("long").alias("id")) if ids is None else ids.select(F.col(doc).cast("long").alias("id"))
     counted = ids.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).first()

@@ -205,7 +205,8 @@ def _counted(path: str):
 def count_tokens(docs: DataFrame, vocabulary: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_pre_tokens, n_tokens), one row per row of docs, in one pass without a shuffle.
 
-    Null and empty texts have none. Other columns are ignored; an empty table gives no rows.
+    Null and empty texts have none. Ids may be null or repeat: each row has its own counts.
+    Other columns are ignored; an empty table gives no rows.
     """
     kind = docs.schema[doc].dataType.simpleString()
     out = docs.select(docs[doc].alias("doc"), docs[text].alias("text")).mapInArrow(_counted(vocabulary), f"doc {kind}, n_pre_tokens long, n_tokens long")
