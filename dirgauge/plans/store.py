@@ -10,7 +10,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,11 +39,12 @@ def state(spark: SparkSession, paths: list[str]) -> tuple:
 
 
 def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that build makes, written at the first call with key in this application."""
+    """The table that build makes, written at the first call with key in this application, and again if it was taken away."""
     key = (spark.sparkContext.applicationId, *key)
-    if key not in _kept:
-        _kept[key] = table(build())
-    return _kept[key]
+    if key not in _kept or not state(spark, [f"{_kept[key][0]}/_SUCCESS"]):
+        df = table(build())
+        _kept[key] = _written[-1], df
+    return _kept[key][1]
 
 
 @atexit.register

@@ -1,5 +1,7 @@
 """Queries against DuckDB on the smallest data, and scalar functions against fixed vectors."""
 
+import shutil
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +9,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from dirgauge.functions import columns as C
 from dirgauge.operators import reports as R
+from dirgauge.plans import store, tree
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["summary_grouping_sets", "smallfiles_rollup", "userusage_aged", "paths_csv_rows", "inode_info", "edges_resolved", "size_histogram"]
+CHECKED = ["summary_grouping_sets", "smallfiles_rollup", "userusage_aged", "paths_csv_rows", "inode_info", "edges_resolved", "size_histogram", "statistics", "inode_json", "inode_permission", "inode_arguments", "bucket_model_of_powers", "smallfiles_hotspots", "visited"]
 
 
 def duck():
@@ -59,3 +62,29 @@ def test_limit_is_strict_and_roll_up_ends_at_root(spark):
     nodes = spark.createDataFrame(rows, "type string, owner string, parent_path string, size bigint")
     by = R.small_files(nodes).groupBy("parent_path").agg(F.count(F.lit(1)).alias("n"))
     assert {(r.path, r.n) for r in R.roll_up(by, "n").collect()} == {("/", 2), ("/a", 1), ("/a/b", 1)}
+
+
+def test_nodes_are_written_once_for_each_state(spark, tmp_path):
+    df = spark.range(3)
+    calls = []
+    build = lambda: calls.append(1) or df
+    (tmp_path / "in").write_text("a")
+    key = lambda: ("k", store.state(spark, [str(tmp_path / "in")]))
+    first = store.once(spark, key(), build)
+    assert store.once(spark, key(), build) is first and len(calls) == 1 and first.count() == 3
+    (tmp_path / "in").write_text("ab")
+    assert store.once(spark, key(), build) is not first and len(calls) == 2
+    path = store._kept[(spark.sparkContext.applicationId, *key())][0]
+    shutil.rmtree(path.removeprefix("file:"))
+    assert store.once(spark, key(), build).count() == 3 and len(calls) == 3
+    assert store.state(spark, [str(tmp_path / "none")]) == ()
+
+
+def test_paths_of_deep_trees_lost_nodes_and_cycles(spark):
+    rows = [(k, k - 1, f"d{k}") for k in range(2, 202)] + [(1, 0, ""), (900, 899, "lost"), (5, 3, "again")]
+    got = {(r.id, r.path, r.depth) for r in tree.directory_paths(spark.createDataFrame(rows, "id bigint, parent_id bigint, name string"), 1).collect()}
+    path = lambda k: "/" + "/".join(f"d{j}" for j in range(2, k + 1)) if k > 1 else "/"
+    want = {(k, path(k), k - 1) for k in range(1, 202)} | {(k, f"/d2/d3/again{path(k).removeprefix(path(5))}", k - 2) for k in range(5, 202)}
+    assert got == want
+    with pytest.raises(ValueError, match="cycle"):
+        tree.directory_paths(spark.createDataFrame([(1, 0, ""), (2, 3, "a"), (3, 2, "b")], "id bigint, parent_id bigint, name string"), 1, max_depth=50)
