@@ -3,12 +3,13 @@
 Each half of the unit vectors has a codebook of its own, fitted on a bounded sample; a
 vector's cell is its nearest centre in either half, a cell of the product grid. A vector
 visits the grid's cells in the order of a multi-sequence traversal, by the sum of its
-squared distances to the two centres. How many cells it visits is measured in two ways, and
-the larger depth counts: sampled vectors get made-up partners at the threshold in random
-directions, the farthest that still link, and the target share of them is found from either
-side, however few links the table has; and sampled vectors are compared with all rows by
-brute force, and the target share of their links lies in visited cells. Visited cells'
-vectors are then compared by cosine in double precision.
+squared distances to the two centres, as far as the reach: the sum may exceed that of its
+own cell by so much. The reach is measured in two ways, and the larger one counts: sampled
+vectors get made-up partners at the threshold in random directions, the farthest that still
+link, and the target share of them is found from either side, however few links the table
+has; and sampled vectors are compared with all rows by brute force, and the target share of
+their links lies in visited cells. Visited cells' vectors are then compared by cosine in
+double precision.
 
 Equal vectors are one class with a weight. Cells are cut into blocks, so that one with very
 many vectors is the work of many tasks; a block gives counts and the edges of a spanning
@@ -31,6 +32,8 @@ from dirgauge.llm.components import connected_components
 #: Vectors the codebooks are fitted on, and vectors whose links are searched by brute force, about.
 FIT_ROWS, PROBE_ROWS = 8192, 256
 TARGET_RECALL, LEAST_CELLS = 0.9995, 4
+#: How finely the reach that links need is told.
+STEP = 1e-3
 #: Made-up partners of each probe.
 PARTNERS = 32
 CELL_ROWS, ASKING, ASKED = 64, 1024, 1024
@@ -71,44 +74,47 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None, :])
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, depth: int) -> np.ndarray:
-    """The depth cells i * len(d2) + j of least d1[i] + d2[j], in order (multi-sequence traversal, ties by cell).
+def traverse(d1: np.ndarray, d2: np.ndarray, reach: float, least: int = LEAST_CELLS) -> np.ndarray:
+    """The cells i * len(d2) + j in order of d1[i] + d2[j] up to reach above the least sum (multi-sequence traversal, ties by cell); at least so many.
 
-    Cells among the depth nearest have (rank in d1 + 1) * (rank in d2 + 1) <= depth, since
-    all cells of no larger ranks come first; only those are summed and sorted.
+    Cells among the least n of all have (rank in d1 + 1) * (rank in d2 + 1) <= n, since all
+    cells of no larger ranks come first; with that, and with a bound for each i on how far
+    d2 may go, only few sums are looked at.
     """
-    o1, o2 = np.argsort(d1, kind="stable")[:depth], np.argsort(d2, kind="stable")[:depth]
-    i, j = np.nonzero((np.arange(len(o1))[:, None] + 1) * (np.arange(len(o2))[None, :] + 1) <= depth)
-    cells, sums = o1[i] * len(d2) + o2[j], d1[o1[i]] + d2[o2[j]]
-    return cells[np.lexsort((cells, sums))[:depth]]
+    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
+    s1, s2 = d1[o1] - d1[o1[0]], d2[o2] - d2[o2[0]]
+    ends = np.maximum(np.searchsorted(s2, reach - s1, side="right"), np.minimum(least // (np.arange(len(s1)) + 1), len(s2)))
+    ends = ends[: np.flatnonzero(ends)[-1] + 1]
+    i = np.repeat(np.arange(len(ends)), ends)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(ends) - ends, ends)
+    cells, sums = o1[i] * len(d2) + o2[j], s1[i] + s2[j]
+    order = np.lexsort((cells, sums))
+    return cells[order[: max(least, np.searchsorted(sums[order], reach, side="right"))]]
 
 
-def _ranks(queries: np.ndarray, ids: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float):
-    """For each batch of all rows, how many links of the queries lie in the cell of each rank: (rank, n)."""
+def _excess(queries: np.ndarray, ids: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float):
+    """For each batch of all rows, how many links of the queries lie in cells so many STEPs (rounded up) above the query's least sum: (steps, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = queries.shape[1] // 2
-        q1, q2 = _squares(queries[:, :half], books[0]), _squares(queries[:, half:], books[1])
+        q1, q2 = (_squares(x, c) for x, c in zip((queries[:, :half], queries[:, half:]), books, strict=True))
+        q1, q2 = q1 - q1.min(axis=1, keepdims=True), q2 - q2.min(axis=1, keepdims=True)
         for batch in batches:
-            ranks, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            steps = np.zeros(0, np.int64)
             if batch.num_rows:
                 x = _unit(batch.column(1))
-                own = batch.column(0).to_numpy()
-                cell = _squares(x[:, :half], books[0]).argmin(axis=1) * len(books[1]) + _squares(x[:, half:], books[1]).argmin(axis=1)
-                links = (queries @ x.T >= threshold) & (ids[:, None] != own[None, :])
-                for q in np.flatnonzero(links.any(axis=1)):
-                    cells, n = np.unique(cell[links[q]], return_counts=True)
-                    to = q1[q, cells // len(books[1])] + q2[q, cells % len(books[1])]
-                    by_second = np.sort(q2[q])
-                    ranks.append(sum(np.searchsorted(by_second, to - d) for d in q1[q]))
-                    counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ranks), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], names=["rank", "n"])
+                links = (queries @ x.T >= threshold) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
+                a, b = (_squares(y, c).argmin(axis=1) for y, c in zip((x[:, :half], x[:, half:]), books, strict=True))
+                q, r = np.nonzero(links)
+                steps = np.ceil((q1[q, a[r]] + q2[q, b[r]]) / STEP).astype(np.int64)
+            at, n = np.unique(steps, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["steps", "n"])
 
     return run
 
 
-def _partner_ranks(queries: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """For PARTNERS vectors at the threshold from each query the rank of one's cell for the other, on the side where it is less; ascending."""
+def _partner_excess(queries: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """For PARTNERS vectors at the threshold from each query how far one's cell is above the other's least sum, on the side where that is less; ascending."""
     half, rng, out = queries.shape[1] // 2, np.random.default_rng(0), []
     for q in queries:
         away = rng.normal(size=(PARTNERS, len(q)))
@@ -116,15 +122,13 @@ def _partner_ranks(queries: np.ndarray, books: tuple[np.ndarray, np.ndarray], th
         near = threshold * q + max(0.0, 1 - threshold**2) ** 0.5 * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
         q1, q2 = (_squares(x, c)[0] for x, c in ((q[None, :half], books[0]), (q[None, half:], books[1])))
         p1, p2 = _squares(near[:, :half], books[0]), _squares(near[:, half:], books[1])
-        a, b, sorted_q2 = q1.argmin(), q2.argmin(), np.sort(q2)
-        for d1, d2 in zip(p1, p2, strict=True):
-            own = q1[d1.argmin()] + q2[d2.argmin()]
-            back = d1[a] + d2[b]
-            out.append(min(np.searchsorted(sorted_q2, own - q1).sum(), np.searchsorted(np.sort(d2), back - d1).sum()))
-    return np.sort(out)
+        there = q1[p1.argmin(axis=1)] + q2[p2.argmin(axis=1)] - q1.min() - q2.min()
+        back = p1[:, q1.argmin()] + p2[:, q2.argmin()] - p1.min(axis=1) - p2.min(axis=1)
+        out.append(np.minimum(there, back))
+    return np.sort(np.concatenate(out))
 
 
-def _celled(books: tuple[np.ndarray, np.ndarray], depth: int):
+def _celled(books: tuple[np.ndarray, np.ndarray], reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -132,7 +136,7 @@ def _celled(books: tuple[np.ndarray, np.ndarray], depth: int):
             x = _unit(batch.column(1))
             half = x.shape[1] // 2
             d1, d2 = _squares(x[:, :half], books[0]), _squares(x[:, half:], books[1])
-            cells = [traverse(d1[k], d2[k], depth).tolist() for k in range(len(x))]
+            cells = [traverse(d1[k], d2[k], reach).tolist() for k in range(len(x))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
 
     return run
@@ -234,13 +238,13 @@ def _links(classes: DataFrame, n: int, threshold: float, kind: str) -> DataFrame
     books = (_centres(x[:, :half], k), _centres(x[:, half:], k))
     probes = part(PROBE_ROWS, 2).select("rep", "v").toPandas().sort_values("rep")  # about PROBE_ROWS rows
     asked = _unit(probes["v"].tolist())
-    ranks = classes.select("rep", "v").mapInArrow(_ranks(asked, probes["rep"].to_numpy(), books, threshold), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("count")).toPandas().sort_values("rank")  # a row for each cell at most
-    made_up = _partner_ranks(asked, books, threshold)
-    depth = max(LEAST_CELLS, int(made_up[int(np.ceil(TARGET_RECALL * len(made_up))) - 1]) + 1)
-    if len(ranks):
-        share = ranks["count"].cumsum() / ranks["count"].sum()
-        depth = max(depth, int(ranks["rank"][share >= TARGET_RECALL].iloc[0]) + 1)
-    spread = table(classes.select("rep", "v", "weight").mapInArrow(_celled(books, min(depth, k * k)), f"rep long, v array<{kind}>, weight long, cells array<long>"))
+    links = classes.select("rep", "v").mapInArrow(_excess(asked, probes["rep"].to_numpy(), books, threshold), "steps long, n long").groupBy("steps").agg(F.sum("n").alias("n")).toPandas().sort_values("steps")  # a row for each step at most
+    made_up = _partner_excess(asked, books, threshold)
+    reach = float(made_up[int(np.ceil(TARGET_RECALL * len(made_up))) - 1])
+    if len(links):
+        share = links["n"].cumsum() / links["n"].sum()
+        reach = max(reach, STEP * float(links["steps"][share >= TARGET_RECALL].iloc[0]))
+    spread = table(classes.select("rep", "v", "weight").mapInArrow(_celled(books, reach + 1e-12), f"rep long, v array<{kind}>, weight long, cells array<long>"))
     sizes = spread.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("asked"))
     visits = spread.withColumn("cell", F.explode("cells"))
     asking = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("asking"))

@@ -279,3 +279,14 @@ def test_next_row_of_repeated_and_null_ids(spark, monkeypatch):
             at = follow[at]
         assert len(got) == len(rows) and sorted(seen) == sorted(t for _, t in rows)
     assert chain([]) == []
+
+
+def test_traversal_visits_cells_in_order():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        d1, d2 = r.random(r.integers(1, 9)).round(1), r.random(r.integers(1, 9)).round(1)
+        reach, least = float(r.choice([0, 0.1, 0.35, 2])), int(r.integers(1, 6))
+        sums = np.add.outer(d1 - d1.min(), d2 - d2.min()).ravel()
+        order = np.lexsort((np.arange(len(sums)), sums))
+        want = order[: max(least, int((sums <= reach).sum()))]
+        assert embedding_dedup.traverse(d1, d2, reach, least).tolist() == want.tolist()
