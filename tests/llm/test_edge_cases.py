@@ -83,14 +83,14 @@ def test_mixing_repeated_rows(spark):
     for extra in ((7000, 7000, 6900, 6800, 6500), (9000, 100, 50, 3, 2)):
         rows = [(1, "a", " ".join(["w"] * 100))] * 400 + [(k, "b", " ".join(["v"] * n)) for k, n in enumerate(extra, 10)]
         docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").withColumn("row_hash", F.lit("own"))
-        mixed = mixing.mix(docs)
+        mixed = mixing.mix(docs).cache()
         per = {r.source: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()}
         assert abs(per["a"].taken - per["a"].target) <= 100 and abs(per["b"].taken - per["b"].target) <= max(extra)
         assert all(p.over <= 0 for p in per.values())
-        again = mixing.mix(docs.repartition(3))
-        assert collections.Counter(map(tuple, again.drop("row_hash").collect())) == collections.Counter(map(tuple, mixed.drop("row_hash").collect()))
-        taken = mixing.apply_copies(docs, mixed)
-        assert taken.columns == docs.columns and taken.count() == mixed.agg(F.sum("copies")).first()[0]
+    again = mixing.mix(docs.repartition(3))
+    assert collections.Counter(map(tuple, again.drop("row_hash").collect())) == collections.Counter(map(tuple, mixed.drop("row_hash").collect()))
+    taken = mixing.apply_copies(docs, mixed)
+    assert taken.columns == docs.columns and taken.count() == mixed.agg(F.sum("copies")).first()[0]
 
 
 def test_balance_of_overlapping_constraints(spark):
@@ -117,7 +117,7 @@ def test_mixing_by_two_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
     total = sum(len(t.split()) for *_, t in rows)
     also = {"lang": spark.createDataFrame([("l0", 0.4 * total), ("l1", 0.6 * total)], "lang string, target double")}
-    got = mixing.mix(docs, also=also)
+    got = mixing.mix(docs, also=also).cache()
     for c, want in (("source", None), ("lang", {"l0": 0.4 * total, "l1": 0.6 * total})):
         for r in got.join(docs.select("doc_id", "lang"), "doc_id").groupBy(c).agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
             assert r.taken == pytest.approx(want[r[c]] if want else r.target, rel=0.02)
