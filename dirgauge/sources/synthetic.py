@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirgauge.plans.store import table
 from dirgauge.plans.tree import place
 
 ROOT, LETTERS = 16385, 26
@@ -45,4 +46,4 @@ def edges(spark: SparkSession, depth: int = 5, width: int = 2, per_dir: int = 26
 
 def nodes(spark: SparkSession, depth: int = 5, width: int = 2, per_dir: int = 260) -> DataFrame:
     """The namespace as reports take it."""
-    return place(inodes(spark, depth, width, per_dir), ROOT)
+    return table(place(inodes(spark, depth, width, per_dir), ROOT))

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from dirgauge.functions import columns as C
 from dirgauge.operators import reports as R
 from dirgauge.plans import store, tree
+from dirgauge.sources import tables
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["summary_grouping_sets", "smallfiles_rollup", "userusage_aged", "paths_csv_rows", "inode_info", "edges_resolved", "size_histogram", "statistics", "inode_json", "inode_permission", "inode_arguments", "bucket_model_of_powers", "smallfiles_hotspots", "visited"]
@@ -88,3 +89,37 @@ def test_paths_of_deep_trees_lost_nodes_and_cycles(spark):
     assert got == want
     with pytest.raises(ValueError, match="cycle"):
         tree.directory_paths(spark.createDataFrame([(1, 0, ""), (2, 3, "a"), (3, 2, "b")], "id bigint, parent_id bigint, name string"), 1, max_depth=50)
+
+
+def test_files_are_not_written_or_moved_again_for_their_order(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(tree, "table", lambda df: kept.append(store.table(df)) or kept[-1])
+    nodes = tables.derive(spark, SF)
+    assert all(t.count() < 1500 for t in kept)  # directories only; there are 1,500 files
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange " in line]
+    assert moved and not any("rangepartitioning" in line for line in moved)
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    for part in (tmp_path / "nodes").glob("*.parquet"):
+        paths = [r[0] for r in duckdb.sql(f"SELECT path FROM read_parquet('{part}', file_row_number = true) ORDER BY file_row_number").fetchall()]
+        assert paths == sorted(paths)
+
+
+def test_sums_of_blocks_are_those_of_each_block(spark, tmp_path):
+    orders = [(k, k % 3, "1-URGENT", None) for k in range(12)]
+    lines = [(k, float(n)) for k in range(12) for n in (1, 700, 17, 50)[: k % 5]] + [(3, None), (77, 5.0)]
+    customers = [(0, "a", 0, "x"), (1, "b", 0, None)]  # customer 2 is missing
+    save = lambda rows, kind, name: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    save(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_orderdate timestamp", "orders")
+    save(lines, "l_orderkey bigint, l_quantity double", "lineitem")
+    save(customers, "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string", "customer")
+    save([(0, "R")], "r_regionkey int, r_name string", "region")
+    save([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int", "nation")
+    save([(0, "S", 0), (1, "lost", 9)], "s_suppkey bigint, s_name string, s_nationkey int", "supplier")
+    got = {r.path: r for r in tables.derive(spark, str(tmp_path)).collect()}
+    assert set(got) == {"/", "/R", "/R/N", "/R/N/a", "/R/N/b", "/R/N/S", *[f"/R/N/{'ab'[k % 3]}/order_{k}" for k in range(12) if k % 3 < 2]}
+    for k in (k for k in range(12) if k % 3 < 2):
+        bytes_ = [int(q * q * 4096) for key, q in lines if key == k and q is not None]
+        ec, row = {0: (6, 3), 5: (3, 2)}.get(k % 10), got[f"/R/N/{'ab'[k % 3]}/order_{k}"]
+        taken = [n + -(-(-(-n // C.CELL)) // ec[0]) * ec[1] * C.CELL if ec else n * (1 + k % 3) for n in bytes_]
+        assert (row["size"], row.consumed, row.n_blocks, row.grp) == (sum(bytes_), sum(taken), len(bytes_) + (k == 3), ("x", None)[k % 3])
