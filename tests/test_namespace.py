@@ -123,3 +123,14 @@ def test_sums_of_blocks_are_those_of_each_block(spark, tmp_path):
         ec, row = {0: (6, 3), 5: (3, 2)}.get(k % 10), got[f"/R/N/{'ab'[k % 3]}/order_{k}"]
         taken = [n + -(-(-(-n // C.CELL)) // ec[0]) * ec[1] * C.CELL if ec else n * (1 + k % 3) for n in bytes_]
         assert (row["size"], row.consumed, row.n_blocks, row.grp) == (sum(bytes_), sum(taken), len(bytes_) + (k == 3), ("x", None)[k % 3])
+
+
+def test_permissions_are_resolved_where_the_nodes_are(spark):
+    entry.queries()["inode_permission"](spark, SF).count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 4096)
+    try:
+        plan = entry.queries()["inode_permission"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
